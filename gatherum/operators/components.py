@@ -4,11 +4,13 @@ Each round every vertex moves to the neighbour (or itself) that comes first in a
 order, and the graph shrinks to the vertices moved to (randomised contraction, after Boegeholz,
 Brand and Todor 2020). The expected number of vertices falls by a constant factor per round,
 whatever the shape of the graph, so long paths and huge stars both end after a logarithmic
-number of rounds.
+number of rounds. Once the shrunken graph fits a single task (``task_edges``), that task ends it.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from gatherum.operators.joins import SMALL_ROWS, lookup_join
 from gatherum.session import cut, keep, scratch
 
 MAX_ROUNDS = 100
+TASK_EDGES = 1_000_000  # 16 MB of edges: what one task settles by itself
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:
@@ -35,24 +38,49 @@ def _simple(edges: DataFrame) -> DataFrame:
     )
 
 
+def _settle(batches):
+    """``(v, to)`` with the lowest id of the component, for the edges of one task."""
+    frames = [f for f in batches if len(f)]
+    if not frames:
+        return
+    edges = pd.concat(frames)
+    ids, at = np.unique(edges[["src", "dst"]].to_numpy(), return_inverse=True)
+    at = at.reshape(-1, 2)
+    label = np.arange(len(ids))
+    while len(at):
+        ends = label[at]
+        at = at[ends[:, 0] != ends[:, 1]]
+        ends = label[at]
+        np.minimum.at(label, ends.max(axis=1, initial=0), ends.min(axis=1, initial=len(ids)))
+        while (label != label[label]).any():
+            label = label[label]
+    yield pd.DataFrame({"v": ids, "to": ids[label]})
+
+
 def connected_components(
-    edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = MAX_ROUNDS
+    edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = MAX_ROUNDS,
+    task_edges: int = TASK_EDGES,
 ) -> DataFrame:
     """``(id, component)`` with the lowest id of the component as its name.
 
     ``edges (src, dst)`` are undirected; ``nodes (id)`` adds vertices that have no edge.
     """
     with scratch():
-        return cut(_components(edges, nodes, max_rounds))
+        return cut(_components(edges, nodes, max_rounds, task_edges))
 
 
-def _components(edges: DataFrame, nodes: DataFrame | None, max_rounds: int) -> DataFrame:
+def _components(
+    edges: DataFrame, nodes: DataFrame | None, max_rounds: int, task_edges: int
+) -> DataFrame:
     graph = cut(_simple(edges))
     moves: list[DataFrame] = []
     for round_no in range(max_rounds + 1):
         n_edges = graph.count()
         if n_edges == 0:
             break
+        if n_edges <= task_edges:
+            moves.append(keep(graph.coalesce(1).mapInPandas(_settle, "v long, to long")))
+            break
         if round_no == max_rounds:
             raise RuntimeError(f"components not settled after {max_rounds} rounds")
         rank = F.xxhash64("id", F.lit(round_no))

@@ -466,20 +466,23 @@ def knn_graph(features: DataFrame | Space, k: int = 2) -> DataFrame:
 
 
 def nearest_foreign(
-    space: Space, groups: DataFrame, core: DataFrame | None = None
+    space: Space, groups: DataFrame, core: DataFrame | None = None, hints: DataFrame | None = None
 ) -> DataFrame:
     """``(grp, a, b, w)``: the closest pair of each group to any other group.
 
     ``groups (id, grp)`` covers every distinct row. Distance is Euclidean or, with ``core (id,
     core)``, the mutual reachability ``max(core_a, core_b, dist)``. Ties go to the lower ids,
-    the same way from both sides. A group's best pair with a pivot of another group bounds its
-    search, and cells that hold the group alone are not visited.
+    the same way from both sides. A group's best pair with a pivot of another group, or among
+    known pairs ``hints (a, b, w)``, bounds its search; cells that hold the group alone are not
+    visited.
     """
     with scratch():
-        return cut(_nearest_foreign(space, groups, core))
+        return cut(_nearest_foreign(space, groups, core, hints))
 
 
-def _nearest_foreign(space: Space, groups: DataFrame, core: DataFrame | None) -> DataFrame:
+def _nearest_foreign(
+    space: Space, groups: DataFrame, core: DataFrame | None, hints: DataFrame | None
+) -> DataFrame:
     spark = space.points.sparkSession
     width = space.width
     marked = space.points.select("id", "x", "cell", "block").join(groups, "id")
@@ -521,9 +524,16 @@ def _nearest_foreign(space: Space, groups: DataFrame, core: DataFrame | None) ->
                      "w": np.concatenate([best[ok], best[ok]])}
                 )
 
+    found = marked.mapInPandas(try_pivots, "grp long, w double")
+    if hints is not None:
+        known = lookup_join(hints, groups.toDF("a", "ga"), "a")
+        known = lookup_join(keep(known), groups.toDF("b", "gb"), "b").filter("ga <> gb")
+        loose = F.col("w") * (1 + 1e-9) + 1e-9
+        found = found.unionByName(
+            known.select(F.explode(F.array("ga", "gb")).alias("grp"), loose.alias("w"))
+        )
     bound = keep(
-        marked.mapInPandas(try_pivots, "grp long, w double")
-        .groupBy("grp").agg(F.min("w").alias("radius"))
+        found.groupBy("grp").agg(F.min("w").alias("radius"))
     )
     asked = lookup_join(marked.drop("block"), bound, "grp").filter(F.col("core") <= F.col("radius"))
 
