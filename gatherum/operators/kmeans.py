@@ -16,14 +16,15 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatherum.functions.sampling import hash_key, hash_sample
 from gatherum.operators.corpus import cluster_sizes
-from gatherum.session import cut, parallelism
+from gatherum.session import cut
 
 MAX_CENTRE_BYTES = 1 << 29
+STEPS_PER_JOB = 10  # mini-batches one task takes in turn
 
 
 @dataclass
@@ -56,6 +57,9 @@ def kmeans(
 ) -> KMeansFit:
     """One seeded KMeans fit of ``(id, features)`` with k-means|| starting centres."""
     _check_centres(n_clusters, _width(features))
+    if n_clusters == 1:  # the centre is the mean; MLlib starts at two
+        mean = features.agg(Summarizer.mean(F.col("features"))).first()[0].toArray()
+        return lloyd(features, mean[None, :], 0)
     fitted = KMeans(
         k=n_clusters, maxIter=max_iter, seed=seed, tol=tol, featuresCol="features",
         predictionCol="cluster", initMode="k-means||",
@@ -135,24 +139,21 @@ def minibatch_kmeans(
     pool = _batches(features, n, batch, max_steps, seed)
     seen = np.zeros(len(centers))
     smooth, best, stale = None, None, 0
-    for step in range(max_steps):
-        moved = _batch_sums(pool.filter(F.col("step") == step), centers)
-        total = int(moved["n"].sum())
-        if total == 0:
-            continue
-        for c, part in moved.groupby("cluster"):
-            n_new, total_x = part["n"].sum(), np.sum([np.frombuffer(x) for x in part["x"]], axis=0)
-            seen[c] += n_new
-            centers[c] += (total_x - n_new * centers[c]) / seen[c]
-        cost = moved["cost"].sum() / total
-        weight = min(1.0, 2.0 * batch / (n + 1))
-        smooth = cost if smooth is None else smooth * (1 - weight) + cost * weight
-        if best is None or smooth < best:
-            best, stale = smooth, 0
+    weight = min(1.0, 2.0 * batch / (n + 1))
+    for step in range(0, max_steps, STEPS_PER_JOB):
+        part = pool.filter((F.col("step") >= step) & (F.col("step") < step + STEPS_PER_JOB))
+        for done in _advance(part, centers, seen):
+            centers, seen = done["centers"], done["seen"]
+            smooth = done["cost"] if smooth is None else smooth * (1 - weight) + done["cost"] * weight
+            if best is None or smooth < best:
+                best, stale = smooth, 0
+            else:
+                stale += 1
+            if max_no_improvement is not None and stale >= max_no_improvement:
+                break
         else:
-            stale += 1
-        if max_no_improvement is not None and stale >= max_no_improvement:
-            break
+            continue
+        break
     final = assign(features, centers)
     cost = float(final.agg(F.sum("sq_dist")).first()[0])
     return KMeansFit(final.select("id", "cluster"), centers, cost)
@@ -173,41 +174,54 @@ def _batches(features: DataFrame, n: int, batch: int, steps: int, seed: int) ->
     place = F.conv(digits, 16, 10).cast("long") % F.lit(per_pass)
     step = (F.col("pass") * per_pass + place).cast("int")
     dealt = copies.select("id", "features", step.alias("step")).filter(F.col("step") < steps)
-    return cut(dealt.repartition(max(1, min(parallelism(features.sparkSession), batch // 250))))
+    return cut(dealt)
 
 
-def _batch_sums(rows: DataFrame, centers: np.ndarray) -> pd.DataFrame:
-    """Rows, cost and vector sum per cluster of one batch; no more rows than the batch has."""
-    fixed = centers.copy()
+def _advance(part: DataFrame, centers: np.ndarray, seen: np.ndarray) -> list[dict]:
+    """Centres after each of a few consecutive batches.
 
-    def add_up(batches):
-        for frame in batches:
-            if len(frame) == 0:
-                continue
-            x = np.vstack(frame["x"].to_numpy())
-            gap = (x**2).sum(1)[:, None] - 2 * x @ fixed.T + (fixed**2).sum(1)[None, :]
+    Batches follow one another, so one task takes them in turn: ``STEPS_PER_JOB`` batches of
+    ``batch_size`` rows, however large the table is.
+    """
+    start, counts = centers.copy(), seen.copy()
+
+    def walk(batches):
+        frames = [f for f in batches if len(f)]
+        if not frames:
+            return
+        frame = pd.concat(frames)
+        now, total, rows = start.copy(), counts.copy(), []
+        for step, batch in frame.groupby("step", sort=True):
+            x = np.vstack(batch.sort_values("id")["x"].to_numpy())
+            gap = (x**2).sum(1)[:, None] - 2 * x @ now.T + (now**2).sum(1)[None, :]
             at = gap.argmin(axis=1)
-            cost = ((x - fixed[at]) ** 2).sum(1)
-            hit = np.unique(at)
-            yield pd.DataFrame(
-                {
-                    "cluster": hit,
-                    "n": [int((at == c).sum()) for c in hit],
-                    "cost": [float(cost[at == c].sum()) for c in hit],
-                    "x": [x[at == c].sum(axis=0).tobytes() for c in hit],
-                }
-            )
-
-    arrays = rows.select(vector_to_array(F.col("features")).alias("x"))
-    return arrays.mapInPandas(add_up, "cluster int, n long, cost double, x binary").toPandas()
+            cost = float(((x - now[at]) ** 2).sum(1).mean())
+            for c in np.unique(at):
+                mine = x[at == c]
+                total[c] += len(mine)
+                now[c] += (mine.sum(axis=0) - len(mine) * now[c]) / total[c]
+            rows.append((int(step), cost, now.tobytes(), total.tobytes()))
+        yield pd.DataFrame(rows, columns=["step", "cost", "centers", "seen"])
+
+    arrays = part.select("id", "step", vector_to_array(F.col("features")).alias("x"))
+    out = arrays.coalesce(1).mapInPandas(
+        walk, "step int, cost double, centers binary, seen binary"
+    )
+    return [
+        {"cost": r["cost"], "centers": np.frombuffer(r["centers"]).reshape(start.shape).copy(),
+         "seen": np.frombuffer(r["seen"]).copy()}
+        for r in sorted(out.collect(), key=lambda r: r["step"])
+    ]
 
 
 def in_parallel(jobs: Sequence[Callable], threads: int = 4) -> list:
     """Run independent Spark actions from a few driver threads, results in order."""
     if len(jobs) == 1 or threads <= 1:
         return [job() for job in jobs]
+    spark = SparkSession.getActiveSession()
+    wrap = inheritable_thread_target(spark)  # jobs keep the caller's properties and tags
     with ThreadPoolExecutor(threads) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        return [f.result() for f in [pool.submit(wrap(job)) for job in jobs]]
 
 
 def seed_sweep(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gatherum.functions.vectors import dense_entries, l2_normalise_array, sparse_entries
 from gatherum.session import parallelism
 
-MAX_SKETCH_BYTES = 1 << 30
+MAX_SKETCH_BYTES = 1 << 29  # below the default limit on results sent to the driver
 COLUMN_BLOCK = 1024  # columns per summed block
 ROW_BATCH = 512  # rows multiplied at once inside a task
 
@@ -167,9 +167,9 @@ def _gram_times(raw: DataFrame, basis: np.ndarray, with_sums: bool):
         raw.mapInPandas(multiply, schema).repartition(tasks, "block").mapInPandas(add_up, schema)
     )
     out = np.zeros((n_blocks * COLUMN_BLOCK, cols))
-    for row in summed.toLocalIterator():  # D x l in all: the checked sketch
-        b = row["block"]
-        out[b * COLUMN_BLOCK : (b + 1) * COLUMN_BLOCK] = np.frombuffer(row["x"]).reshape(-1, cols)
+    found = summed.toPandas()  # D x l in all: the checked sketch
+    for b, x in zip(found["block"], found["x"]):
+        out[b * COLUMN_BLOCK : (b + 1) * COLUMN_BLOCK] = np.frombuffer(x).reshape(-1, cols)
     held.unpersist()
     return out[:width, :size], (out[:width, size] if with_sums else None)
 

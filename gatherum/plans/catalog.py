@@ -85,7 +85,8 @@ def _by_rule(spark, sf, modulus: int = 10) -> DataFrame:
 
 
 def _tfidf(docs) -> DataFrame:
-    return spread(tfidf.fit_tfidf(docs, MIN_DF, MAX_DF, STOP).transform(docs))
+    docs = spread(docs.select("id", "document"))
+    return cut(tfidf.fit_tfidf(docs, MIN_DF, MAX_DF, STOP).transform(docs))
 
 
 def _reduced(docs, k: int = 100) -> DataFrame:
