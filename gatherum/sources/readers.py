@@ -52,7 +52,7 @@ def read_news(
     parts = []
     for path in splits:
         if file_format == "text":
-            raw = spark.read.option("wholetext", True).text(f"{path.rstrip('/')}/*/*")
+            raw = spark.read.text(f"{path.rstrip('/')}/*/*", wholetext=True)
             name = F.col("_metadata.file_path")
             part = raw.select(
                 name.alias("post"),
