@@ -121,27 +121,32 @@ def votes() -> dict[str, Column]:
 
 
 def fit_accuracies(patterns: np.ndarray, weights: np.ndarray, rounds: int = MAX_EM_ROUNDS):
-    """EM for independent rules: (accuracies, share of good, posterior of each pattern).
+    """EM for rules that are independent given the class: (vote rates, share of good).
 
-    ``patterns`` holds -1, 0, 1 votes, ``weights`` how many documents vote so. Accuracies stay in
-    [0.55, 0.99]: a rule is better than a coin, which also fixes which class is the good one.
+    ``patterns`` holds -1, 0, 1 votes, ``weights`` how many documents vote so. The rates
+    ``[rule, class, vote + 1]``, class 0 bad and 1 good, are each rule's accuracy on either class.
+    EM starts from "any bad vote makes good unlikely", and a rule never says bad more often of
+    good documents than of bad ones, which fixes which class is the good one.
     """
-    accuracy = np.full(patterns.shape[1], 0.8)
-    good = 0.7
-    said = (patterns != 0) * weights[:, None]
-    posterior = np.zeros(len(patterns))
+    said = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
+    posterior = 0.95 * 0.3 ** (patterns < 0).sum(axis=1)
+    rates, good = np.full((patterns.shape[1], 2, 3), 1 / 3), 0.5
     for _ in range(rounds):
-        lift = np.log(accuracy / (1 - accuracy))
-        posterior = 1 / (1 + np.exp(-(patterns @ lift + np.log(good / (1 - good)))))
-        right = np.where(patterns > 0, posterior[:, None], 1 - posterior[:, None])
-        new = ((right * said).sum(0) + 8) / (said.sum(0) + 10)
-        new = np.clip(new, 0.55, 0.99)
-        share = float(np.clip((posterior @ weights + 1) / (weights.sum() + 2), 0.05, 0.95))
-        moved = max(np.abs(new - accuracy).max(initial=0), abs(share - good))
-        accuracy, good = new, share
+        member = np.stack([1 - posterior, posterior], axis=1) * weights[:, None]
+        new = np.einsum("pc,pjv->jcv", member, said) + 0.5
+        new /= new.sum(axis=2, keepdims=True)
+        shared = (new * member.sum(axis=0)[None, :, None]).sum(axis=1) / max(member.sum(), 1e-9)
+        odd = new[:, 1, 0] > new[:, 0, 0]
+        new[odd] = (shared[odd] / shared[odd].sum(axis=1, keepdims=True))[:, None, :]
+        good_now = float(np.clip((posterior @ weights + 1) / (weights.sum() + 2), 0.05, 0.95))
+        moved = max(np.abs(new - rates).max(initial=0), abs(good_now - good))
+        rates, good = new, good_now
+        lift = np.log(rates[:, 1]) - np.log(rates[:, 0])
+        logit = np.einsum("pjv,jv->p", said, lift) + np.log(good / (1 - good))
+        posterior = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
         if moved < 1e-9:
             break
-    return accuracy, good, posterior
+    return rates, good
 
 
 def judge(
@@ -154,11 +159,11 @@ def judge(
     tally = {r[0]: r[1] for r in counted.groupBy(code.alias("v")).count().collect()}  # at most 3^rules
     keys = np.array(sorted(tally), np.int64)
     patterns = (keys[:, None] // 3 ** np.arange(len(rules))[::-1]) % 3 - 1
-    accuracy, good, _ = fit_accuracies(patterns, np.array([tally[k] for k in keys], float))
-    lift = np.log(accuracy / (1 - accuracy))
+    rates, good = fit_accuracies(patterns, np.array([tally[k] for k in keys], float))
+    lift = np.log(rates[:, 1]) - np.log(rates[:, 0])
     logit = reduce(
-        lambda a, v: a + v[0] * F.lit(float(v[1])), zip(rules.values(), lift, strict=True),
-        F.lit(float(np.log(good / (1 - good)))),
+        lambda a, x: a + F.when(x[0] < 0, float(x[1][0])).when(x[0] > 0, float(x[1][2])).otherwise(float(x[1][1])),
+        zip(rules.values(), lift, strict=True), F.lit(float(np.log(good / (1 - good)))),
     )
     return (
         counted.withColumn("base_failed", base_failed())
