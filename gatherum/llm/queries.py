@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatherum.llm import decontaminate, language, quality, toxicity, url_filter
+from gatherum.llm import decontaminate, language, licenses, quality, shards, toxicity, url_filter
 from gatherum.llm.common import held_out
 
 
@@ -41,6 +41,20 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(_table(spark, sf_dir, "documents")).select(
+        F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).select(
+        F.col("key").alias("doc_id"), F.size("sentence_ids").cast("long").alias("n_sentences"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"),
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents"))
     return judged.select(
@@ -49,6 +63,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op4_toxicity, op6_language, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op4_toxicity, op6_language, op8_shards, op9_licenses, op10_quality)}
 
 ORACLES: dict[str, str] = {}
