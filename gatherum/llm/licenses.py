@@ -103,7 +103,8 @@ def sentence_ids(text: Column, lines_end: bool) -> Column:
     joined = lower if lines_end else F.regexp_replace(lower, "\n", " ")
     plain = F.regexp_replace(F.regexp_replace(joined, ENDS, "\n"), OTHER, " ")
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    hits = F.filter(F.transform(F.split(plain, "\n"), F.trim), lambda s: s.isin(*KNOWN))
+    bare = F.regexp_replace(F.regexp_replace(plain, " ?\n ?", "\n"), "^ | $", "")
+    hits = F.filter(F.split(bare, "\n"), lambda s: s.isin(*KNOWN))
     return F.when(lower.rlike(HINTS), F.transform(hits, lambda s: F.element_at(known, s))).otherwise(
         F.array().cast("array<string>")
     )

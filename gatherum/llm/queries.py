@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatherum.llm import decontaminate, language, licenses, quality, shards, toxicity, url_filter
+from gatherum.llm import decontaminate, language, licenses, near_dedup, quality, shards, toxicity, url_filter
 from gatherum.llm.common import held_out
 
 
@@ -33,6 +33,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return near_dedup.near_duplicates(docs, n=3, num=85, den=100).withColumnRenamed("key", "doc_id")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.train(docs, ~held_out("doc_id", 3, 1))
@@ -63,6 +68,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op4_toxicity, op6_language, op8_shards, op9_licenses, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op4_toxicity, op5_near_dedup, op6_language, op8_shards, op9_licenses, op10_quality)}
 
 ORACLES: dict[str, str] = {}
