@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatherum.llm import decontaminate, language, licenses, near_dedup, quality, shards, toxicity, url_filter
+from gatherum.llm import decontaminate, language, licenses, near_dedup, quality, shards, substring_dedup, toxicity, url_filter
 from gatherum.llm.common import held_out
 
 
@@ -25,6 +25,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), outcomes)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     net = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
@@ -68,6 +73,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op4_toxicity, op5_near_dedup, op6_language, op8_shards, op9_licenses, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_substring_dedup, op4_toxicity, op5_near_dedup, op6_language, op8_shards, op9_licenses, op10_quality)}
 
 ORACLES: dict[str, str] = {}
