@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gatherum.llm import decontaminate, language, licenses, near_dedup, pieces, quality, shards, substring_dedup, toxicity, url_filter
+from gatherum.llm import decontaminate, language, licenses, near_dedup, oracles, pieces, quality, shards, substring_dedup, toxicity, url_filter
 from gatherum.llm.common import held_out
 
 
@@ -91,4 +91,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_substring_dedup, op4_toxicity, op5_near_dedup, op6_language, op7_pieces, op8_shards, op9_licenses, op10_quality)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
