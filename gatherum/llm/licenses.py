@@ -71,7 +71,7 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-ref",)),
     ("CC0-1.0", ("cc0-ref",)),
 )
-#: Every known sentence has one of these, so texts without them need no sentences.
+#: Every rule has a sentence with one of these, so texts without them are not cut into sentences.
 HINTS = "licen[sc]|permission|permitted|warrant|redistribut|copyright"
 ENDS = r"[.!?;:]+([ \t\r\f\x0B\n]+|$)"
 OTHER = r"[^\p{L}\p{N}\n]+"

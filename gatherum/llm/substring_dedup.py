@@ -298,7 +298,7 @@ def _matched(n: int):
     """Segments sorted by (shard, id, tag, first) to removed window ranges, shard by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, machine = None, SuffixAutomaton()
+        shard, machine, before = None, SuffixAutomaton(), None
         for batch in batches:
             found: list[tuple[int, int, int, int]] = []
             for own, key, tag, first, words in zip(
@@ -306,6 +306,9 @@ def _matched(n: int):
             ):
                 if own != shard:
                     shard, machine = own, SuffixAutomaton()
+                if before == (own, key, tag, first):
+                    continue  # the same row twice is one document
+                before = own, key, tag, first
                 low = None
                 for i, length in enumerate(machine.stream(words.split(b" ")) + [0]):
                     if length >= n and low is None:
