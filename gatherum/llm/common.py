@@ -10,7 +10,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD_BREAKS = r"[\x20\x09-\x0D]+"
+#: Bytes of text that a task works on at a time; one longer text is a piece of its own.
+PIECE_BYTES = 8 << 20
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], column: str, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of ``column``, so that a task's memory is bounded."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def held_out(id_col: str, buckets: int, bucket: int) -> Column:
@@ -38,7 +51,7 @@ def per_row(
         kept.append(f"row {source.schema['row'].dataType.simpleString()}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches, "body"):
             found = compute(batch.column(1).to_pylist())
             own = [batch.column(0)] + ([batch.column(2)] if with_row else [])
             names = ["key"] + (["row"] if with_row else [])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatherum.llm.common import table_bytes
+from gatherum.llm.common import pieces_of, table_bytes
 from gatherum.session import cut
 
 #: Item bytes per automaton: at 10-word windows some 100 MB in a worker. More items take more passes.
@@ -132,7 +132,7 @@ def find(
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             number, machine = sent.value.automaton()
-            for batch in batches:
+            for batch in pieces_of(batches, "body"):
                 out: dict[str, list] = {"n": [], "spans": [], "offsets": [], "items": []}
                 bodies = batch.column("body").to_pylist()
                 for text, spans, items in zip(

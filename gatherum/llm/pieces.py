@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gatherum.llm.common import table_bytes
+from gatherum.llm.common import pieces_of, table_bytes
 
 SPACE = "▁"
 #: UTF-8 bytes of text in a chunk; units with more characters than fit in a bit mask go to a helper.
@@ -161,7 +161,7 @@ def _pack_rows(chunks: int):
     """Rows of a batch to one compressed blob for each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches, "text"):
             table = pa.Table.from_batches([batch])
             at = batch.column("chunk").to_numpy()
             numbers = np.unique(at)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatherum.llm.common import split_words
+from gatherum.llm.common import pieces_of, split_words
 from gatherum.llm.near_dedup import _mixed
 from gatherum.session import cut
 
@@ -124,7 +124,7 @@ def _emit_segments(n: int):
     """(anchor, digest, id, pack, settled): later copies inside the batch are settled here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches, "body"):
             texts = batch.column("body").to_pylist()
             found = segments(texts, n)
             ids = batch.column("id").to_numpy()[found["doc"]] if len(texts) else np.empty(0, np.int64)
@@ -212,7 +212,7 @@ def _asked(n: int):
     """Words of the segments asked for: whole (kind ASK, by anchor), or each window (by its digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches, "body"):
             rows: list[tuple] = []
             for key, body, packs, each in zip(*(batch.column(c).to_pylist() for c in ("id", "body", "ask", "each")), strict=True):
                 tag, words = _text_tag(body or b""), (body or b"").split()
@@ -328,7 +328,7 @@ def _cuts(n: int, with_text: bool):
     """Final pass: removed words of each row, digest of the rest, and the rest itself if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches, "body"):
             bodies = batch.column("body").to_pylist()
             packs, ranges = batch.column("removed").to_pylist(), batch.column("ranges").to_pylist()
             n_words, n_removed, digests, rest = [], [], [], []
