@@ -35,6 +35,10 @@ from gatherum.llm.common import pieces_of, table_bytes
 SPACE = "▁"
 #: UTF-8 bytes of text in a chunk; units with more characters than fit in a bit mask go to a helper.
 CHUNK_BYTES, MASK_CHARS = 32 << 20, 60
+#: Buckets of units for each chunk: small enough that a bucket's edges are sorted in memory.
+BUCKETS = 8
+#: An edge in one number, in the order of merging: 23 bits of place, 6 of start, 6 of size, 28 of id.
+NO_PLACE, NO_PIECE = (1 << 23) - 1, (1 << 28) - 1
 
 
 class Model:
@@ -63,10 +67,11 @@ class Model:
         self.longest = max(map(len, self.ids))
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """``(piece, rank, id)``: as many rows as the model has pieces."""
+        """``(piece, place, id)``: as many rows as the model has pieces; equal scores share a place."""
+        places = {r: i for i, r in enumerate(sorted(set(self.rank.values())))}
         rows = pa.table({
-            "piece": pa.array(self.ids), "rank": pa.array(self.rank.values(), pa.float64()),
-            "id": pa.array(self.ids.values(), pa.int32()),
+            "piece": pa.array(self.ids), "place": pa.array([places[r] for r in self.rank.values()], pa.int64()),
+            "id": pa.array(self.ids.values(), pa.int64()),
         })
         return spark.createDataFrame(rows.to_pandas())
 
@@ -148,7 +153,7 @@ def _bucket(unit: str, buckets: int) -> int:
 
 def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -201,10 +206,14 @@ def _send_units(buckets: int):
 
 
 def _list_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each bucket's units once: all blobs of a bucket are in one partition."""
+    held: dict[int, list] = {}
     for batch in batches:
         for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-            unit = _unpacked(blob).column("unit").combine_chunks()
-            yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(unit), pa.int32()), unit], names=["bucket", "unit"])
+            held.setdefault(bucket, []).append(_unpacked(blob).column("unit").combine_chunks())
+    for bucket in list(held):
+        unit = pc.unique(pa.concat_arrays(held.pop(bucket)))
+        yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(unit), pa.int32()), unit], names=["bucket", "unit"])
 
 
 def spelled(unit: Column) -> Column:
@@ -219,23 +228,40 @@ def lattice(words: DataFrame, model: Model, *by: str) -> DataFrame:
     spelt = words.withColumn("word", spelled(F.col("unit"))).withColumn("chars", F.char_length("word"))
     starts = spelt.select(*by, "unit", "word", "chars", F.explode(F.sequence(F.lit(0), F.col("chars") - 1)).alias("start"))
     spans = starts.select(
-        *by, "unit", "chars", "start",
+        *by, "unit", "start",
         F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("chars") - F.col("start")))).alias("size"), "word",
-    ).select(*by, "unit", "chars", "start", "size", F.substring(F.col("word"), F.col("start") + 1, F.col("size")).alias("piece"))
-    codes = F.array(*[F.lit(i) for i in model.byte_ids])
-    pairs = F.regexp_extract_all(F.hex(F.encode("piece", "UTF-8")), F.lit("(..)"), F.lit(1))
-    spelt_out = F.transform(pairs, lambda h: F.element_at(codes, F.conv(h, 16, 10).cast("int") + 1))
+    ).select(*by, "unit", "start", "size", F.substring(F.col("word"), F.col("start") + 1, F.col("size")).alias("piece"))
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c)
-    stop = F.col("start") + F.col("size")
+    packed = (
+        F.coalesce("place", F.lit(NO_PLACE)) * (1 << 40) + F.col("start").cast("long") * (1 << 34) + F.col("size").cast("long") * (1 << 28)
+        + F.coalesce("id", F.lit(NO_PIECE))
+    )
     edges = (
         spans.join(pieces, "piece", "left").filter(F.col("id").isNotNull() | (F.col("size") == 1))
-        .select(*by, "unit", "chars", F.struct(
-            F.col("rank"), F.col("start"), (bit(F.col("start")) + bit(stop)).alias("ends"),
-            (bit(stop) - bit(F.col("start") + 1)).alias("inner"),
-            F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spelt_out).alias("ids"),
-        ).alias("edge"))
+        .select(*by, "unit", packed.cast("long").alias("edge"))
     )
-    grouped = edges.groupBy(*by, "unit").agg(F.array_sort(F.collect_list("edge")).alias("edges"), F.max("chars").alias("chars"))
+    grouped = edges.groupBy(*by, "unit").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+
+    def unpacked(e: Column) -> Column:
+        start = F.shiftright(e, 34).bitwiseAND(63).cast("int")
+        stop = start + F.shiftright(e, 28).bitwiseAND(63).cast("int")
+        return F.struct(
+            start.alias("start"), (bit(start) + bit(stop)).alias("ends"), (bit(stop) - bit(start + 1)).alias("inner"),
+            e.bitwiseAND(NO_PIECE).cast("int").alias("id"),
+        )
+
+    codes = F.array(*[F.lit(i) for i in model.byte_ids])
+
+    def spelt_out(e: Column) -> Column:
+        """The ids of an edge: its piece, or the bytes of a character without one."""
+        char = F.substring(F.col("word"), e["start"] + 1, F.lit(1))
+        pairs = F.regexp_extract_all(F.hex(F.encode(char, "UTF-8")), F.lit("(..)"), F.lit(1))
+        in_bytes = F.transform(pairs, lambda h: F.element_at(codes, F.conv(h, 16, 10).cast("int") + 1))
+        return F.when(e["id"] == NO_PIECE, in_bytes).otherwise(F.array(e["id"]))
+
+    grouped = grouped.select(
+        *by, "unit", spelled(F.col("unit")).alias("word"), F.transform("edges", unpacked).alias("edges")
+    ).withColumn("chars", F.char_length("word"))
     longer = F.filter("edges", lambda e: e["inner"] > 0)
     whole = bit(F.col("chars") + 1) - 1
 
@@ -248,8 +274,8 @@ def lattice(words: DataFrame, model: Model, *by: str) -> DataFrame:
         "mask", F.when(F.size("longer") == 0, whole).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("chars")), whole, merged))
     )
     chosen = F.filter("edges", lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("mask").bitwiseAND(e["inner"]) == 0))
-    ordered = F.array_sort(F.transform(chosen, lambda e: F.struct(e["start"], e["ids"])))
-    return folded.select(*by, "unit", F.flatten(F.transform(ordered, lambda e: e["ids"])).alias("ids"))
+    ordered = F.array_sort(F.transform(chosen, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
+    return folded.select(*by, "unit", F.flatten(F.transform(ordered, spelt_out)).alias("ids"))
 
 
 def _answer(model: Model):
@@ -311,7 +337,7 @@ def encode(
     spark = docs.sparkSession
     model = Model(model_path)
     chunks = max(1, -(-table_bytes(docs, text_col) // chunk_bytes))
-    buckets = 2 * chunks
+    buckets = BUCKETS * chunks
     source = docs.select(
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col).cast("string")), F.lit(chunks)).cast("int").alias("chunk"),
         F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"),

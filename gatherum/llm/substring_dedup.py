@@ -399,10 +399,10 @@ def remove_repeats(
     )
     ranges = matched.unionByName(repeated).groupBy("id").agg(F.collect_list(F.struct("tag", "first", "last")).alias("ranges"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    whole = (
-        docs.select(key, body, row)
+    whole = (  # the text is shuffled once, inside its row
+        docs.select(key, row)
         .join(lists.select("id", "removed"), "id", "left").join(ranges, "id", "left")
-        .select("row", "body", "removed", "ranges")
+        .select("row", F.col(f"row.`{text_col}`").cast("string").cast("binary").alias("body"), "removed", "ranges")
     )
     kind = whole.schema["row"].dataType.simpleString()
     schema = f"row {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
