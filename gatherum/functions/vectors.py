@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 __all__ = [
     "array_to_vector",
     "dense_entries",
-    "distance",
     "from_arrays",
     "l2_normalise",
     "l2_normalise_array",
@@ -29,15 +28,6 @@ def from_arrays(df: DataFrame, id_col: str, array_col: str, *keep: str) -> DataF
     )
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Euclidean distance of two arrays."""
-    return F.sqrt(
-        F.aggregate(
-            F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v
-        )
-    )
-
-
 def squared_norm(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v)
 

@@ -63,14 +63,17 @@ def connected_components(
 ) -> DataFrame:
     """``(id, component)`` with the lowest id of the component as its name.
 
-    ``edges (src, dst)`` are undirected; ``nodes (id)`` adds vertices that have no edge.
+    ``edges (src, dst)`` are undirected; ``nodes (id)`` adds vertices that have no edge. Without
+    them the vertices are those of the edges, self-loops included.
     """
+    if nodes is None:
+        nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     with scratch():
         return cut(_components(edges, nodes, max_rounds, task_edges))
 
 
 def _components(
-    edges: DataFrame, nodes: DataFrame | None, max_rounds: int, task_edges: int
+    edges: DataFrame, nodes: DataFrame, max_rounds: int, task_edges: int
 ) -> DataFrame:
     graph = cut(_simple(edges))
     moves: list[DataFrame] = []
@@ -102,8 +105,7 @@ def _components(
         moved = lookup_join(keep(moved) if n_edges > SMALL_ROWS else moved, move, "v", n_rows=n_edges)
         graph = cut(_simple(moved.select("src", F.col("to").alias("dst"))))
     if not moves:
-        lone = nodes if nodes is not None else graph.select(F.col("src").alias("id"))
-        return lone.select("id", F.col("id").alias("component"))
+        return nodes.select("id", F.col("id").alias("component"))
     # follow the moves from the last round back: each table is a fraction of the one before
     ends = moves[-1]
     for move in reversed(moves[:-1]):
@@ -119,8 +121,6 @@ def _components(
         "to", F.least("low", "to").alias("component")
     )
     named = lookup_join(ends, names, "to").select(F.col("v").alias("id"), "component")
-    if nodes is None:
-        return named
     return (
         nodes.select("id")
         .join(named, "id", "left")

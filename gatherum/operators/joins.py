@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gatherum.session import cut
 
 HOT_SHARE = 256  # a key is hot when it owns more than 1/HOT_SHARE of the rows
+SALT_ROWS = 50_000_000  # rows of one key that one task joins
 SMALL_ROWS = 1_000_000  # below this, even one key owning every row is a light task
 
 
@@ -23,9 +24,11 @@ def lookup_join(
     """Join of ``big`` with ``table`` (one row per key), safe against hot keys; inner or left.
 
     At most ``hot_share`` keys can each own more than ``1/hot_share`` of the rows, so the hot
-    part of ``table`` has a proven size and is broadcast; all other keys go through a shuffle
-    join whose largest key is then small. No row is dropped or capped. ``big`` is read three
-    times, so pass a table that is stored, not one that is dear to compute.
+    part of ``table`` has a proven size and is broadcast. A cold key may still own
+    ``n / hot_share`` rows; the shuffle join deals every key over as many salts as keep that
+    below ``SALT_ROWS`` rows a task, which repeats ``table`` as often. No row is dropped or
+    capped. ``big`` is read three times, so pass a table that is stored, not one that is dear
+    to compute.
     """
     small = SMALL_ROWS if small_rows is None else small_rows
     n = big.count() if n_rows is None else n_rows
@@ -34,8 +37,13 @@ def lookup_join(
     hot_keys = cut(big.groupBy(key).count().filter(F.col("count") > n / hot_share).select(key))
     hot_table = F.broadcast(table.join(F.broadcast(hot_keys), key))
     hot = big.join(F.broadcast(hot_keys), key, "left_semi").join(hot_table, key, how)
-    cold = big.join(F.broadcast(hot_keys), key, "left_anti").join(table, key, how)
-    return hot.unionByName(cold)
+    cold = big.join(F.broadcast(hot_keys), key, "left_anti")
+    salts = -(-n // (hot_share * SALT_ROWS))
+    if salts == 1:
+        return hot.unionByName(cold.join(table, key, how))
+    dealt = cold.withColumn("_salt", F.pmod(F.xxhash64(*cold.columns), F.lit(salts)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return hot.unionByName(dealt.join(copies, [key, "_salt"], how).drop("_salt"))
 
 
 def with_sorted_index(df: DataFrame, order_col: str, index_col: str = "idx") -> DataFrame:

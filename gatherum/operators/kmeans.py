@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ from gatherum.session import cut
 
 MAX_CENTRE_BYTES = 1 << 29
 STEPS_PER_JOB = 10  # mini-batches one task takes in turn
+STEPS_PER_DRAW = 100  # mini-batches drawn in one scan of the table; a multiple of the above
 
 
 @dataclass
@@ -52,10 +53,20 @@ def _width(features: DataFrame) -> int:
     return int(first[0])
 
 
+def _best_start(fit: Callable[[int], KMeansFit], seed: int, n_init: int) -> KMeansFit:
+    """The fit of least cost over ``n_init`` starts; ties to the earlier one."""
+    if n_init < 1:
+        raise ValueError("n_init must be at least 1")
+    return min((fit(seed + 7919 * i) for i in range(n_init)), key=lambda f: f.wcss)
+
+
 def kmeans(
-    features: DataFrame, n_clusters: int, max_iter: int = 100, seed: int = 0, tol: float = 1e-4
+    features: DataFrame, n_clusters: int, max_iter: int = 100, seed: int = 0, tol: float = 1e-4,
+    n_init: int = 1,
 ) -> KMeansFit:
-    """One seeded KMeans fit of ``(id, features)`` with k-means|| starting centres."""
+    """Seeded KMeans of ``(id, features)`` with k-means|| starting centres, the best of ``n_init``."""
+    if n_init > 1:
+        return _best_start(lambda s: kmeans(features, n_clusters, max_iter, s, tol), seed, n_init)
     _check_centres(n_clusters, _width(features))
     if n_clusters == 1:  # the centre is the mean; MLlib starts at two
         mean = features.agg(Summarizer.mean(F.col("features"))).first()[0].toArray()
@@ -119,28 +130,37 @@ def minibatch_kmeans(
     n_clusters: int,
     batch_size: int = 1000,
     init_size: int = 1000,
-    max_steps: int = 100,
+    max_iter: int = 100,
     max_no_improvement: int | None = 10,
     seed: int = 0,
+    n_init: int = 1,
 ) -> KMeansFit:
     """KMeans on small seeded batches (Sculley 2010): each centre moves by 1/(rows seen so far).
 
-    The batches of all steps are drawn in one pass over the table and stored, so a step reads
-    ``batch_size`` rows and not the table. When the table is smaller than what the steps need,
-    it is passed again in a new order. Stops when the smoothed batch cost has not improved for
-    ``max_no_improvement`` steps. Every row is then assigned in one pass.
+    Goes over the whole table ``max_iter`` times, each time in a new order, unless the smoothed
+    batch cost has not improved for ``max_no_improvement`` steps before. The batches of the next
+    ``STEPS_PER_DRAW`` steps are drawn in one scan and stored, so a step reads ``batch_size`` rows
+    and not the table. Every row is then assigned in one pass. The best of ``n_init`` starts.
     """
+    if n_init > 1:
+        return _best_start(
+            lambda s: minibatch_kmeans(
+                features, n_clusters, batch_size, init_size, max_iter, max_no_improvement, s
+            ), seed, n_init)
     _check_centres(n_clusters, _width(features))
     n = features.count()
     start = hash_sample(features, min(n, max(init_size, 3 * n_clusters)), seed, n_rows=n)
     centers = KMeans(k=n_clusters, maxIter=0, seed=seed).fit(cut(start)).clusterCenters()
     centers = np.array(centers)
     batch = min(batch_size, n)
-    pool = _batches(features, n, batch, max_steps, seed)
+    per_pass = max(1, n // batch)
+    steps = max_iter * per_pass
     seen = np.zeros(len(centers))
     smooth, best, stale = None, None, 0
     weight = min(1.0, 2.0 * batch / (n + 1))
-    for step in range(0, max_steps, STEPS_PER_JOB):
+    for step in range(0, steps, STEPS_PER_JOB):
+        if step % STEPS_PER_DRAW == 0:
+            pool = _batches(features, per_pass, step, min(steps, step + STEPS_PER_DRAW), seed)
         part = pool.filter((F.col("step") >= step) & (F.col("step") < step + STEPS_PER_JOB))
         for done in _advance(part, centers, seen):
             centers, seen = done["centers"], done["seen"]
@@ -159,22 +179,19 @@ def minibatch_kmeans(
     return KMeansFit(final.select("id", "cluster"), centers, cost)
 
 
-def _batches(features: DataFrame, n: int, batch: int, steps: int, seed: int) -> DataFrame:
-    """``(id, features, step)``: the rows of every step, drawn in one go.
+def _batches(features: DataFrame, per_pass: int, first: int, stop: int, seed: int) -> DataFrame:
+    """``(id, features, step)``: the rows of steps ``first`` to ``stop``, drawn in one scan.
 
-    A table larger than all batches together gives up a sample of that size; a smaller one is
-    dealt out again in a new order for each pass. A batch holds ``batch`` rows on average;
+    Every pass deals the whole table into ``per_pass`` steps. A batch holds its share on average;
     which step a row goes to depends on its id, the pass and the seed alone.
     """
-    per_pass = max(1, min(steps, n // batch))
-    passes = -(-steps // per_pass)
-    drawn = hash_sample(features, min(n, batch * per_pass), seed, n_rows=n).select("id", "features")
-    copies = drawn.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    passes = F.sequence(F.lit(first // per_pass), F.lit((stop - 1) // per_pass))
+    copies = features.select("id", "features", F.explode(passes).alias("pass"))
     digits = F.substring(hash_key(F.concat_ws(":", "id", "pass"), seed + 1), 1, 12)
     place = F.conv(digits, 16, 10).cast("long") % F.lit(per_pass)
     step = (F.col("pass") * per_pass + place).cast("int")
-    dealt = copies.select("id", "features", step.alias("step")).filter(F.col("step") < steps)
-    return cut(dealt)
+    dealt = copies.select("id", "features", step.alias("step"))
+    return cut(dealt.filter((F.col("step") >= first) & (F.col("step") < stop)))
 
 
 def _advance(part: DataFrame, centers: np.ndarray, seen: np.ndarray) -> list[dict]:
@@ -255,7 +272,3 @@ def elbow(
     return features.sparkSession.createDataFrame(
         [(int(k), float(c)) for k, c in zip(ks, costs)], "k int, wcss double"
     )
-
-
-def vectors(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn("features", array_to_vector(F.col(column)))

@@ -279,7 +279,19 @@ def _within(gap, slack, radius, qx, dx, a):
     return inside
 
 
-def neighbour_counts(space: Space, eps: float, queries: DataFrame | None = None) -> DataFrame:
+def neighbour_counts(features: DataFrame | Space, eps: float) -> DataFrame:
+    """``(id, n)``: rows within ``eps`` of every row, itself and copies counted."""
+    space = features if isinstance(features, Space) else build_space(features)
+    with scratch():
+        found = point_counts(space, eps)
+        if space.has_copies:
+            found = lookup_join(
+                space.members, cut(found).withColumnRenamed("id", "rep"), "rep", n_rows=space.n_rows
+            ).select("id", "n")
+        return cut(found)
+
+
+def point_counts(space: Space, eps: float, queries: DataFrame | None = None) -> DataFrame:
     """``(id, n)``: rows within ``eps`` of each distinct row, itself and its copies counted."""
     source = space.points if queries is None else queries
     asked = source.select("id", "x", "cell", F.lit(float(eps)).alias("radius"))
@@ -302,15 +314,29 @@ def neighbour_counts(space: Space, eps: float, queries: DataFrame | None = None)
     return parts.groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def eps_join(features: DataFrame | Space, eps: float) -> DataFrame:
-    """``(src, dst, dist)`` with ``src < dst``: pairs of distinct rows at most ``eps`` apart.
+def eps_join(features: DataFrame | Space, eps: float, factored: bool = False) -> DataFrame:
+    """``(src, dst, dist)`` with ``src < dst``: all pairs of rows at most ``eps`` apart.
 
-    The result is factored: of identical rows only the lowest id appears, and
-    :func:`copies` lists the others, so a mass of copies does not square the output.
+    ``factored`` lists of identical rows only the lowest id, and :func:`copies` the others, so
+    that a mass of copies does not square the output; the two together say the same.
     """
     space = features if isinstance(features, Space) else build_space(features)
     with scratch():
-        return cut(_pairs(space, eps))
+        pairs = cut(_pairs(space, eps))
+        if factored or not space.has_copies:
+            return pairs
+        member = space.members.select("id", "rep")
+        left = lookup_join(
+            member.withColumnRenamed("id", "a"), pairs.groupBy(F.col("src").alias("rep")).agg(
+                F.collect_list(F.struct("dst", "dist")).alias("near")), "rep"
+        ).select("a", F.inline("near"))
+        across = left.withColumnRenamed("dst", "rep").join(member.withColumnRenamed("id", "b"), "rep")
+        inside = (
+            member.withColumnRenamed("id", "a").join(member.withColumnRenamed("id", "b"), "rep")
+            .filter("a < b").withColumn("dist", F.lit(0.0))
+        )
+        return cut(across.select("a", "b", "dist").unionByName(inside.select("a", "b", "dist")).select(
+            F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "dist"))
 
 
 def _pairs(space: Space, eps: float) -> DataFrame:

@@ -22,7 +22,7 @@ from gatherum.operators.joins import align, with_sorted_index
 from gatherum.operators.ward import ward
 from gatherum.plans import grids, runner
 from gatherum.plans.config import Experiment, Stage
-from gatherum.session import cut, scratch, spread
+from gatherum.session import cut, fan_out, scratch, spread
 
 EPS, MIN_SAMPLES = 1.15, 4
 STOP = "english"
@@ -64,9 +64,9 @@ def _documents(spark, sf, label="lang") -> DataFrame:
 
 
 def _turns(spark, sf) -> DataFrame:
-    """Conversation turns: short texts without a label."""
+    """Conversation turns: short texts without a label; the id is a hash of conversation and turn."""
     return _table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"),
+        F.xxhash64("conv_id", "turn").alias("id"),
         F.col("text").alias("document"), F.lit(None).cast("string").alias("label"),
     )
 
@@ -85,7 +85,7 @@ def _by_rule(spark, sf, modulus: int = 10) -> DataFrame:
 
 
 def _tfidf(docs) -> DataFrame:
-    docs = spread(docs.select("id", "document"))
+    docs = fan_out(docs.select("id", "document"))
     return cut(tfidf.fit_tfidf(docs, MIN_DF, MAX_DF, STOP).transform(docs))
 
 
@@ -264,15 +264,14 @@ def embed_hashed(spark, sf):
 @query()
 def embed_word2vec(spark, sf):
     x = word2vec_embed(_documents(spark, sf), 32)
-    return x.select("id", F.size(vectors.vector_to_array("features")).alias("n_features"))
+    return x.select("id", vectors.vector_to_array("features").alias("features"))
 
 
 @query("""WITH e AS (SELECT vec_id AS id, generate_subscripts(embedding, 1) - 1 AS idx,
-  unnest(embedding)::DOUBLE AS w FROM embeddings), f AS (SELECT * FROM e WHERE idx < 8)
-SELECT id, CAST(idx AS INTEGER) AS idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) + 0.0 AS w FROM f""")
+  unnest(embedding)::DOUBLE AS w FROM embeddings)
+SELECT id, CAST(idx AS INTEGER) AS idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) + 0.0 AS w FROM e""")
 def l2_rows(spark, sf):
-    raw = _table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("x"))
-    unit = vectors.l2_normalise(vectors.from_arrays(raw, "vec_id", "x"))
+    unit = vectors.l2_normalise(_embeddings(spark, sf))
     return vectors.dense_entries(unit).select("id", "idx", r6("w").alias("w"))
 
 
@@ -352,7 +351,14 @@ def seed_sweep(spark, sf):
 
 @query()
 def elbow(spark, sf):
-    return kmeans.elbow(_embeddings(spark, sf), range(1, 102, 10))
+    """Every cluster count of the reference range, on reduced documents."""
+    return grids.choose_k(_documents(spark, sf))
+
+
+@query()
+def elbow_questions(spark, sf):
+    """The curve that the questions grid's cluster count is read from."""
+    return grids.choose_k(_turns(spark, sf), max_k=_turns(spark, sf).count())
 
 
 # --- scores ---------------------------------------------------------------------------------
@@ -436,8 +442,30 @@ def eps_join(spark, sf):
 
 @query(f"""WITH {_POINTS} SELECT a.id, count(*) AS n FROM p a JOIN p b ON list_distance(a.x, b.x) <= {EPS} GROUP BY a.id""")
 def neighbour_counts(spark, sf):
-    with scratch():
-        return cut(neighbors.neighbour_counts(neighbors.build_space(_embeddings(spark, sf)), EPS))
+    return neighbors.neighbour_counts(_embeddings(spark, sf), EPS)
+
+
+# rows at unit length, or empty: the distance follows from the product
+_ALIKE = f"""{_TOKENS}, dots AS (SELECT a.id AS src, b.id AS dst, sum(a.w * b.w) AS s
+  FROM tfidf a JOIN tfidf b USING (idx) WHERE a.id < b.id GROUP BY ALL),
+bare AS (SELECT id FROM d WHERE id NOT IN (SELECT id FROM tfidf)),
+gaps AS (SELECT src, dst, sqrt(greatest(0, 2 - 2 * s)) AS dist FROM dots
+  UNION ALL SELECT a.id, b.id, 0 FROM bare a JOIN bare b ON a.id < b.id)"""
+ALIKE = 0.8
+
+
+@query(f"WITH {_ALIKE} SELECT src, dst, round(dist, 4) AS dist FROM gaps WHERE dist <= {ALIKE}")
+def eps_join_documents(spark, sf):
+    """Every pair of similar documents, copies among them."""
+    return neighbors.eps_join(_tfidf(_documents(spark, sf)), ALIKE).select(
+        "src", "dst", F.round("dist", 4).alias("dist"))
+
+
+@query(f"""WITH {_ALIKE}, near AS (SELECT src, dst FROM gaps WHERE dist <= {ALIKE})
+SELECT d.id, 1 + count(o) AS n FROM d LEFT JOIN (SELECT src AS id, dst AS o FROM near UNION ALL
+  SELECT dst, src FROM near) USING (id) GROUP BY d.id""")
+def neighbour_counts_documents(spark, sf):
+    return neighbors.neighbour_counts(_tfidf(_documents(spark, sf)), ALIKE)
 
 
 _KNN = _PAIRS + """, knn AS (SELECT src, dst, dist FROM (SELECT *, row_number() OVER
@@ -517,21 +545,26 @@ def evaluated_run(spark, sf):
     return runner.evaluate(work, one).filter("metric <> 'train_time'")
 
 
+def _scores_only(metrics: DataFrame) -> DataFrame:
+    """The comparison without wall-clock times, which no two runs share."""
+    return runner.comparison(metrics.filter("metric <> 'train_time'")).drop("train_time_mean", "train_time_std")
+
+
 @query()
 def grid_news(spark, sf):
-    return runner.comparison(grids.run_named_grid(_documents(spark, sf, "source"), "news"))
+    return _scores_only(grids.run_named_grid(_documents(spark, sf, "source"), "news"))
 
 
 @query()
 def grid_labelled(spark, sf):
-    return runner.comparison(grids.run_named_grid(_documents(spark, sf), "labelled"))
+    return _scores_only(grids.run_named_grid(_documents(spark, sf), "labelled"))
 
 
 @query()
 def grid_questions(spark, sf):
-    return runner.comparison(grids.run_named_grid(_turns(spark, sf), "questions"))
+    return _scores_only(grids.run_named_grid(_turns(spark, sf), "questions"))
 
 
 @query()
 def grid_embeddings(spark, sf):
-    return runner.comparison(grids.run_named_grid(_documents(spark, sf), "embeddings"))
+    return _scores_only(grids.run_named_grid(_documents(spark, sf), "embeddings"))

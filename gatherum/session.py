@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import threading
 from contextlib import contextmanager
@@ -48,7 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if not sc.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    own = os.path.join(tempfile.mkdtemp(prefix="gatherum-"), "checkpoints")
+    folder = tempfile.mkdtemp(prefix="gatherum-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    own = os.path.join(folder, "checkpoints")
     sc.setCheckpointDir(own)
     return own
 
@@ -93,10 +97,19 @@ def keep(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame, key: str = "id") -> DataFrame:
     """Stored, and dealt over all cores when the source came in fewer pieces than there are cores."""
-    cores = parallelism(df.sparkSession)
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, key)
-    return cut(df)
+    return cut(fan_out(df, key))
+
+
+def fan_out(df: DataFrame, key: str = "id") -> DataFrame:
+    """Dealt over all cores if the source is too small to be read in as many pieces.
+
+    Goes by the planner's estimate of the source, so nothing runs to find out.
+    """
+    spark = df.sparkSession
+    cores = parallelism(spark)
+    piece = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b") or 1 << 27)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size < cores * piece else df
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatherum.functions.sampling import seeded_shuffle
 from gatherum.functions.text import clean_text
 from gatherum.operators.corpus import filter_categories, limit_rows, select_corpus, union_splits
 from gatherum.operators.joins import with_sorted_index
@@ -122,7 +121,3 @@ def _keyed(df: DataFrame) -> DataFrame:
             F.monotonically_increasing_id().alias("at"),
         ),
     )
-
-
-def shuffled(df: DataFrame, seed: int) -> DataFrame:
-    return seeded_shuffle(df, seed)

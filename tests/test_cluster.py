@@ -75,7 +75,7 @@ def test_kmeans_family(spark):
     x = np.vstack([rng.normal(c, 0.1, (40, 3)) for c in (0, 3, 6)])
     df = table(spark, x)
     full = kmeans.kmeans(df, 3, seed=1)
-    mini = kmeans.minibatch_kmeans(df, 3, batch_size=40, init_size=60, max_steps=20, seed=1)
+    mini = kmeans.minibatch_kmeans(df, 3, batch_size=40, init_size=60, max_iter=7, seed=1)
     assert mini.wcss < 1.2 * full.wcss
     step = kmeans.lloyd(df, x[[0, 40, 80]], 2)
     assert labels(step.assignments) == [0] * 40 + [1] * 40 + [2] * 40
@@ -115,9 +115,14 @@ def test_range_and_nearest_joins(spark, cloud):
     assert space.n_points == 81 and len(space.cells) > 3
     d = gaps(cloud)
     counted = {r["id"]: r["n"] for r in neighbors.neighbour_counts(space, 0.6).collect()}
-    assert counted == {i: int((d[i] <= 0.6).sum()) for i in range(81)}
+    assert counted == {i: int((d[i] <= 0.6).sum()) for i in range(120)}
     want = {(i, j) for i in range(81) for j in range(i + 1, 81) if d[i, j] <= 0.6}
-    assert {(r["src"], r["dst"]) for r in neighbors.eps_join(space, 0.6).collect()} == want
+    short = neighbors.eps_join(space, 0.6, factored=True).collect()
+    assert {(r["src"], r["dst"]) for r in short} == want
+    every = neighbors.eps_join(space, 0.6).collect()  # copies and all their pairs
+    assert len(every) == len({(r["src"], r["dst"]) for r in every})
+    assert {(r["src"], r["dst"]) for r in every} == {
+        (i, j) for i in range(120) for j in range(i + 1, 120) if d[i, j] <= 0.6}
     assert neighbors.copies(space).count() == 39
     for k in (1, 3):
         got = {(r["src"], r["dst"]) for r in neighbors.knn_join(space, k).collect()}
@@ -199,3 +204,55 @@ def test_hdbscan(spark):
         inside[i], total = True, total + best[i]
         best = np.minimum(best, reach[i])
     assert len(tree) == 24 and sum(r["w"] for r in tree) == pytest.approx(total)
+
+
+def test_forest_connects_what_the_mask_connects():
+    from gatherum.operators.dbscan import _forest
+
+    rng = np.random.default_rng(4)
+    for size in (1, 5, 30):
+        for share in (0.02, 0.1, 0.5):
+            masks = [rng.random((12, size)) < share for _ in range(3)]
+            label = np.arange(size)
+            edges = []
+            for s, mask in enumerate(masks):
+                rows, columns = _forest(mask, label)
+                assert all(mask[i, j] for i, j in zip(rows, columns))
+                edges += [((s, int(i)), int(j)) for i, j in zip(rows, columns)]
+            full = [((s, int(i)), int(j)) for s, m in enumerate(masks) for i, j in np.argwhere(m)]
+
+            def parts(pairs):
+                at = {}
+
+                def root(v):
+                    while at.setdefault(v, v) != v:
+                        v = at[v]
+                    return v
+
+                for a, b in pairs:
+                    at[root(a)] = root(b)
+                groups = {}
+                for v in list(at):
+                    groups.setdefault(root(v), set()).add(v)
+                return {frozenset(g) for g in groups.values()}
+
+            assert parts(edges) == parts(full)
+            assert len(edges) <= sum(m.any(axis=1).sum() for m in masks) + 4 * size
+
+
+def test_a_self_loop_is_a_vertex(spark):
+    edges = spark.createDataFrame([(1, 2), (7, 7)], "src long, dst long")
+    got = {(r["id"], r["component"]) for r in connected_components(edges).collect()}
+    assert got == {(1, 1), (2, 1), (7, 7)}
+
+
+def test_lookup_join_with_a_hot_key_and_salts(spark, monkeypatch):
+    from gatherum.operators import joins
+
+    monkeypatch.setattr(joins, "SALT_ROWS", 3)
+    big = spark.createDataFrame([(0 if i % 3 == 0 else i % 20, i) for i in range(300)], "k long, v long")
+    table_ = spark.createDataFrame([(k, k * 10) for k in range(15)], "k long, w long")
+    for how in ("inner", "left"):
+        got = joins.lookup_join(big, table_, "k", how, hot_share=8, small_rows=10)
+        want = big.join(table_, "k", how)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)

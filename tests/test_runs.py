@@ -68,6 +68,33 @@ def test_evaluated_run_and_comparison(spark):
     assert table[1]["silhouette_std"] == 0.0
 
 
+def test_settings_of_the_usual_library_are_taken(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("document"), F.col("lang").alias("label"))
+    work = runner.Workspace(docs)
+    svd = Stage("svd", {"n_components": 5})
+    models = [
+        Stage("KMeans", {"n_clusters": 3, "max_iter": 5, "n_init": 2, "random_state": 4}),
+        Stage("MiniBatchKMeans", {"n_clusters": 3, "init_size": 100, "batch_size": 100, "n_init": 1}),
+        Stage("agglomerative", {"linkage": "ward", "metric": "euclidean", "n_clusters": 3}),
+    ]
+    for model in models:
+        assert runner.cluster(work, Experiment("x", grids.TFIDF, svd, model)).count() == 200
+    hashed = Stage("embedding", {"embed_batch_size": 8, "embed_device": "cpu", "embed_max_seq_length": 256})
+    assert work.vectorise(hashed).count() == 200
+    for bad in ({"linkage": "single"}, {"metric": "cosine"}):
+        with pytest.raises(ValueError):
+            runner.settings(Stage("agglomerative", bad))
+
+
+def test_more_starts_never_cost_more(spark):
+    from gatherum.operators import kmeans
+    from gatherum.functions.vectors import from_arrays
+
+    x = from_arrays(spark.read.parquet(f"{SF}/embeddings.parquet"), "vec_id", "embedding").cache()
+    assert kmeans.kmeans(x, 6, 3, seed=2, n_init=3).wcss <= kmeans.kmeans(x, 6, 3, seed=2).wcss
+
+
 def test_entry_and_registry(spark):
     found = entry_points.entry(spark).collect()
     assert len(found) == 4 and sum(r["size"] for r in found) == 200
