@@ -34,9 +34,9 @@ from gatherum.llm.common import pieces_of, table_bytes
 
 SPACE = "▁"
 #: UTF-8 bytes of text in a chunk; units with more characters than fit in a bit mask go to a helper.
-CHUNK_BYTES, MASK_CHARS = 32 << 20, 60
+CHUNK_BYTES, MASK_CHARS = 12 << 20, 60
 #: Buckets of units for each chunk: small enough that a bucket's edges are sorted in memory.
-BUCKETS = 8
+BUCKETS = 4
 #: An edge in one number, in the order of merging: 23 bits of place, 6 of start, 6 of size, 28 of id.
 NO_PLACE, NO_PIECE = (1 << 23) - 1, (1 << 28) - 1
 

@@ -209,11 +209,15 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _asked(n: int):
-    """Words of the segments asked for: whole (kind ASK, by anchor), or each window (by its digest)."""
+    """Words of the segments asked for: whole (kind ASK, by anchor), or each window (by its digest).
+
+    Of equal windows in a batch only the earliest is sent; the others are settled (kind REMOVE).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "body"):
             rows: list[tuple] = []
+            each_at: dict[bytes, list] = {}
             for key, body, packs, each in zip(*(batch.column(c).to_pylist() for c in ("id", "body", "ask", "each")), strict=True):
                 tag, words = _text_tag(body or b""), (body or b"").split()
                 for whole, wanted in ((True, packs), (False, each)):
@@ -229,7 +233,11 @@ def _asked(n: int):
                         else:
                             for i in range(first, first + count):
                                 code = hashlib.blake2b(b" ".join(words[i : i + n]), digest_size=16).digest()
-                                rows.append((code, ASK_EACH, key, tag, i, None))
+                                each_at.setdefault(code, []).append((key, tag, i))
+            for code, places in each_at.items():
+                head, *later = sorted(set(places))
+                rows.append((code, ASK_EACH, *head, None))
+                rows += [(b"s" + at[0].to_bytes(8, "big", signed=True), REMOVE, *at, None) for at in later]
             names = ("shard", "kind", "id", "tag", "first", "words")
             kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -295,20 +303,26 @@ class SuffixAutomaton:
 
 
 def _matched(n: int):
-    """Segments sorted by (shard, id, tag, first) to removed window ranges, shard by shard."""
+    """Rows sorted by (shard, id, tag, first) to removed window ranges, shard by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, machine, before = None, SuffixAutomaton(), None
         for batch in batches:
             found: list[tuple[int, int, int, int]] = []
-            for own, key, tag, first, words in zip(
-                *(batch.column(c).to_pylist() for c in ("shard", "id", "tag", "first", "words")), strict=True
+            for own, kind, key, tag, first, words in zip(
+                *(batch.column(c).to_pylist() for c in ("shard", "kind", "id", "tag", "first", "words")), strict=True
             ):
                 if own != shard:
-                    shard, machine = own, SuffixAutomaton()
+                    shard, machine, fresh = own, SuffixAutomaton(), True
+                else:
+                    fresh = False
                 if before == (own, key, tag, first):
                     continue  # the same row twice is one document
                 before = own, key, tag, first
+                if kind != ASK:  # settled before, or a window whose earliest place heads its shard
+                    if kind == REMOVE or not fresh:
+                        found.append((key, tag, first, first))
+                    continue
                 low = None
                 for i, length in enumerate(machine.stream(words.split(b" ")) + [0]):
                     if length >= n and low is None:
@@ -386,18 +400,11 @@ def remove_repeats(
         source.join(lists.filter((F.size("ask") > 0) | (F.size("each") > 0)).select("id", "ask", "each"), "id")
         .mapInArrow(_asked(n), "shard binary, kind int, id long, tag int, first int, words binary")
     )
-    asked = cut(asked)
     matched = (
-        asked.filter(F.col("kind") == ASK).drop("kind").repartition("shard")
-        .sortWithinPartitions("shard", "id", "tag", "first")
+        asked.repartition("shard").sortWithinPartitions("shard", "id", "tag", "first")
         .mapInArrow(_matched(n), "id long, tag int, first int, last int")
     )
-    each = asked.filter(F.col("kind") == ASK_EACH).select("shard", F.struct("id", "tag", "first").alias("at"))
-    earliest = each.groupBy("shard").agg(F.min("at").alias("from"), F.max("at").alias("to")).filter(F.col("from") < F.col("to"))
-    repeated = each.join(earliest.select("shard", "from"), "shard").filter(F.col("at") > F.col("from")).select(
-        "at.id", "at.tag", "at.first", F.col("at.first").alias("last")
-    )
-    ranges = matched.unionByName(repeated).groupBy("id").agg(F.collect_list(F.struct("tag", "first", "last")).alias("ranges"))
+    ranges = matched.groupBy("id").agg(F.collect_list(F.struct("tag", "first", "last")).alias("ranges"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     whole = (  # the text is shuffled once, inside its row
         docs.select(key, row)
