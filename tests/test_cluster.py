@@ -186,10 +186,77 @@ def test_ward_regions_agree_with_one_task(spark, cloud):
     assert ward_tree(space, group_rows=20).count() == 59
 
 
+def by_levels(x, size, samples):
+    """HDBSCAN by components at every distance: what the operator must give."""
+    n = len(x)
+    d = gaps(x)
+    core = np.sort(d, axis=1)[:, samples - 1]
+    reach = np.maximum(np.maximum(d, core[:, None]), core[None])
+    np.fill_diagonal(reach, core)
+    levels = np.unique(reach)
+    floor = levels[levels > 0].min() * 1e-3
+    running, clusters = [], []  # (members, cluster) of the big components; cluster: members, stability, parts
+    for i, t in enumerate(levels):
+        seen, comps = set(), []
+        for v in range(n):
+            if core[v] <= t and v not in seen:
+                todo, comp = [v], set()
+                while todo:
+                    u = todo.pop()
+                    if u not in comp:
+                        comp.add(u)
+                        todo += [int(z) for z in np.flatnonzero(reach[u] <= t) if z not in comp]
+                seen |= comp
+                if len(comp) >= size:
+                    comps.append(comp)
+        lam = 1 / max(t, floor)
+        nxt = 1 / max(levels[i + 1], floor) if i + 1 < len(levels) else 0.0
+        now = []
+        for comp in comps:
+            parts = [c for members, c in running if members <= comp]
+            if len(parts) == 1:
+                c = parts[0]
+            else:
+                c = {"stab": 0.0, "parts": parts}
+                clusters.append(c)
+            c["members"], c["stab"] = comp, c["stab"] + len(comp) * (lam - nxt)
+            now.append((comp, c))
+        running = now
+    out = np.full(n, -1)
+    tops = [c for _, c in running]
+
+    def best(c):
+        below = sum(best(p) for p in c["parts"])
+        c["chosen"] = c["stab"] >= below
+        return max(c["stab"], below)
+
+    def pick(c):
+        if c["chosen"]:
+            return [c["members"]]
+        return [m for p in c["parts"] for m in pick(p)]
+
+    for c in tops:
+        best(c)
+        c["chosen"] = False
+    for i, members in enumerate(sorted((m for c in tops for m in pick(c)), key=min)):
+        out[sorted(members)] = i
+    return out.tolist()
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_hdbscan_is_exact_and_does_not_depend_on_slices(spark, seed):
+    rng = np.random.default_rng(seed)
+    x = np.round(np.vstack([rng.normal(0, 1, (40, 3)), rng.normal(3, 0.4, (25, 3))]), 1)
+    x[60:] = x[3]  # copies, and ties from rounding
+    want = by_levels(x, 4, 4)
+    assert labels(hdbscan(table(spark, x), 4)) == want
+    assert labels(hdbscan(table(spark, x), 4, task_edges=9)) == want
+
+
 def test_hdbscan(spark):
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(0, 0.1, (12, 2)), rng.normal(4, 0.1, (12, 2)), [[20.0, -20]]])
-    assert labels(hdbscan(table(spark, x), 5, max_levels=40)) == [0] * 12 + [1] * 12 + [-1]
+    assert labels(hdbscan(table(spark, x), 5)) == [0] * 12 + [1] * 12 + [-1]
     space = neighbors.build_space(table(spark, x), block_rows=8)
     near = neighbors.knn_points(space, 4)
     d = gaps(x)
