@@ -1,15 +1,15 @@
 """Near-duplicate documents by HyperMinHash.
 
-A document is the set of its distinct word shingles. Its signature has 128 buckets; each keeps
-the least shingle hash that fell into it, compressed to a leading-zero count and ten mantissa
-bits. Bands of four registers bring similar documents together, the collision-corrected share of
+A document is the set of its distinct word shingles. Its signature has 256 buckets; each keeps
+the least shingle hash that fell into it, compressed to a leading-zero count and mantissa bits in
+one byte. Bands of four registers bring similar documents together, the collision-corrected share of
 equal registers estimates their Jaccard similarity, and links are confirmed on the full sets.
 
 Documents with equal sets are one class from the start, so a mass of copies costs one row. Inside
 a band's bucket no pairs are listed: every member is first tried against one hub; only where a
 bucket still holds several components are members of different components compared, in blocks of
 bounded size. A pair at the threshold shares no band with a probability of about 6e-11 (0.85) or
-5e-8 (0.8); the estimate passes pairs five standard deviations below the threshold.
+5e-8 (0.8); the estimate passes pairs four and a half standard deviations below the threshold.
 
 Ids are integers. Null or wordless texts have an empty set and are linked with nothing. Rows with
 a null id are linked with nothing and have a null component. Rows with one id are one document
@@ -31,9 +31,9 @@ from gatherum.llm.common import per_row, split_words
 from gatherum.operators.components import connected_components
 from gatherum.session import cut
 
-REGISTERS, MANTISSA, BAND = 128, 10, 4
-BANDS = REGISTERS // BAND
-EMPTY = np.uint16(0xFFFF)
+REGISTERS, MANTISSA, BAND, BANDS = 256, 4, 4, 32
+BUCKET_BITS = 8  # of a shingle's hash; the other 56 are its value
+MOST_ZEROS, EMPTY = 14, np.uint8(0xFF)
 #: Chance that registers of unrelated minima agree: a third for the zeros, then the mantissa.
 CHANCE = 2.0**-MANTISSA / 3
 #: Members of a bucket that one task compares with as many others.
@@ -72,25 +72,26 @@ def shingles(texts: list, n: int) -> list[np.ndarray]:
 
 def signature(hashes: np.ndarray) -> np.ndarray:
     """Registers of a set: leading zeros of the least value in each bucket, and its mantissa."""
-    least = np.full(REGISTERS, np.uint64(1) << np.uint64(57), np.uint64)
-    rest = hashes & np.uint64((1 << 57) - 1)
-    np.minimum.at(least, (hashes >> np.uint64(57)).astype(np.int64), rest)
-    empty = least == np.uint64(1) << np.uint64(57)
+    bits = 64 - BUCKET_BITS
+    least = np.full(REGISTERS, np.uint64(1) << np.uint64(bits), np.uint64)
+    rest = hashes & np.uint64((1 << bits) - 1)
+    np.minimum.at(least, (hashes >> np.uint64(bits)).astype(np.int64), rest)
+    empty = least == np.uint64(1) << np.uint64(bits)
     length = np.frexp(np.maximum(least, np.uint64(1)).astype(np.float64))[1]  # bits of the value
     over = (np.uint64(1) << length.astype(np.uint64)) <= least  # the conversion may round up or down
     length = length + over - ((np.uint64(1) << np.maximum(length - 1, 0).astype(np.uint64)) > least)
     length = np.maximum(length, MANTISSA + 1)
-    zeros = 57 - length
+    zeros = np.clip(bits - length, 0, MOST_ZEROS)
     mantissa = (least >> (length - 1 - MANTISSA).astype(np.uint64)) & np.uint64((1 << MANTISSA) - 1)
-    return np.where(empty, EMPTY, (zeros.astype(np.uint64) << np.uint64(MANTISSA) | mantissa).astype(np.uint16))
+    return np.where(empty, EMPTY, (zeros.astype(np.uint64) << np.uint64(MANTISSA) | mantissa).astype(np.uint8))
 
 
 def band_hashes(registers: np.ndarray) -> np.ndarray:
     """A hash for each band; an empty register borrows from the next filled one, marked by the distance."""
     filled = np.flatnonzero(registers != EMPTY)
-    at = np.searchsorted(filled, np.arange(REGISTERS))
-    nxt = np.append(filled, filled[0] + REGISTERS)[at]
-    value = registers[nxt % REGISTERS].astype(np.uint64) + (nxt - np.arange(REGISTERS)).astype(np.uint64) * np.uint64(1 << 16)
+    used = np.arange(BANDS * BAND)
+    nxt = np.append(filled, filled[0] + REGISTERS)[np.searchsorted(filled, used)]
+    value = registers[nxt % REGISTERS].astype(np.uint64) + (nxt - used).astype(np.uint64) * np.uint64(1 << 16)
     code = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
     for i in range(BAND):
         code = _mixed(code + value[i::BAND])
@@ -104,9 +105,15 @@ def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return ((((one == many) & both).sum(axis=1) / used) - CHANCE) / (1 - CHANCE)
 
 
-def floor_of(used: np.ndarray | int, least: float) -> np.ndarray | float:
-    """Least estimate that is still looked at: five standard deviations under the threshold."""
-    return least - 5 * np.sqrt(least * (1 - least) / np.maximum(used, 1))
+def floor_of(used: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """Least estimate that is still looked at: 4.5 standard deviations under the threshold.
+
+    The ``used`` buckets hold a sample, without replacement, of the union of two sets of
+    ``sizes`` members together, which has at most ``sizes / (1 + least)``.
+    """
+    used = np.maximum(used, 1)
+    rest = np.maximum(1 - used * (1 + least) / sizes, 0)
+    return least - 4.5 * np.sqrt(least * (1 - least) / used * rest + CHANCE * (1 - least) / used)
 
 
 def _signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -123,7 +130,7 @@ def _signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFram
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        codes = [band_hashes(np.frombuffer(s, np.uint16)) for s in batch.column("sig").to_pylist()]
+        codes = [band_hashes(np.frombuffer(s, np.uint8)) for s in batch.column("sig").to_pylist()]
         ids = np.repeat(batch.column("id").to_numpy(), BANDS)
         yield pa.RecordBatch.from_pydict(
             {"id": ids, "bucket": np.concatenate(codes) if codes else np.empty(0, np.int64)}
@@ -142,18 +149,19 @@ def _compare(least: float):
                 sides = []
                 for side in (left, right):
                     rows = side.values
-                    sig = np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                    sides.append((rows.field("id").to_numpy(), rows.field("component").to_numpy(), sig))
-                (a_id, a_comp, a_sig), (b_id, b_comp, b_sig) = sides
+                    sig = np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+                    sides.append((*(rows.field(c).to_numpy() for c in ("id", "component", "n")), sig))
+                (a_id, a_comp, a_n, a_sig), (b_id, b_comp, b_n, b_sig) = sides
                 bands = np.stack([band_hashes(s) for s in b_sig]) if len(b_sig) else np.empty((0, BANDS), np.int64)
                 found: list[tuple[int, int]] = []
                 for k in range(len(a_id)):
-                    other = np.flatnonzero((b_comp != a_comp[k]) & ((b_id > a_id[k]) | (i != j)))
+                    alike = (b_n >= least * a_n[k] - 1e-9) & (a_n[k] >= least * b_n - 1e-9)
+                    other = np.flatnonzero(alike & (b_comp != a_comp[k]) & ((b_id > a_id[k]) | (i != j)))
                     if not len(other):
                         continue
                     guess = estimate(a_sig[k], b_sig[other])
                     used = ((a_sig[k] != EMPTY) | (b_sig[other] != EMPTY)).sum(axis=1)
-                    near = other[guess >= floor_of(used, least)]
+                    near = other[guess >= floor_of(used, a_n[k] + b_n[other], least)]
                     if len(near):
                         same = band_hashes(a_sig[k]) == bands[near]
                         first = bands[near, same.argmax(axis=1)] == bucket  # else another bucket lists it
@@ -175,7 +183,7 @@ def _blocks(members: DataFrame) -> DataFrame:
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     )
     held = dealt.groupBy("bucket", "block", "blocks").agg(
-        F.collect_list(F.struct("id", "component", "sig")).alias("rows")  # about BLOCK rows of 0.3 kB
+        F.collect_list(F.struct("id", "component", "n", "sig")).alias("rows")  # about BLOCK rows of 0.3 kB
     )
     left = held.select("bucket", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("rows").alias("left"))
     right = held.select("bucket", F.col("block").alias("j"), F.col("rows").alias("right"))
@@ -205,12 +213,12 @@ def near_duplicates(
     least = num / den
     base = cut(_signatures(docs, n, id_col, text_col).withColumn("key", F.col("key").cast("long")))
     live = base.filter(F.col("key").isNotNull() & (F.col("n") > 0))
-    classes = cut(live.groupBy("digest").agg(F.min("key").alias("id"), F.first("sig").alias("sig")))
+    classes = cut(live.groupBy("digest").agg(F.min("key").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
 
     banded = classes.select("id", "sig").mapInArrow(_banded, "id long, bucket long")
     hubs = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last")
     members = cut(banded.join(hubs.select("bucket", "hub"), "bucket"))
-    signed = members.select("id").distinct().join(classes.select("id", "sig").groupBy("id").agg(F.min("sig").alias("sig")), "id")
+    signed = members.select("id").distinct().join(classes.groupBy("id").agg(F.min_by("n", "sig").alias("n"), F.min("sig").alias("sig")), "id")
     signed = cut(signed)
 
     def compute_sets(texts: list) -> pa.RecordBatch:
@@ -227,7 +235,7 @@ def near_duplicates(
     # each member and the most alike of its buckets' hubs
     tried = members.filter("id <> hub").select("id", "hub").distinct()
     alike = (
-        tried.join(signed, "id").join(signed.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+        tried.join(signed, "id").join(signed.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig")), "hub")
         .mapInArrow(_guess(least), "id long, hub long, guess double")
         .groupBy("id").agg(F.max_by("hub", F.struct("guess", -F.col("hub"))).alias("hub"))
         .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
@@ -258,12 +266,13 @@ def _guess(least: float):
             if not batch.num_rows:
                 continue
             a, b = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS)
                 for c in ("sig", "hub_sig")
             )
             used = ((a != EMPTY) | (b != EMPTY)).sum(axis=1)
             guess = estimate(a, b)
-            good = pa.array(guess >= floor_of(used, least))
+            both = batch.column("n").to_numpy() + batch.column("hub_n").to_numpy()
+            good = pa.array(guess >= floor_of(used, both, least))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").filter(good), batch.column("hub").filter(good), pa.array(guess).filter(good)],
                 names=["id", "hub", "guess"],
