@@ -34,7 +34,7 @@ from gatherum.llm.common import pieces_of, table_bytes
 
 SPACE = "▁"
 #: UTF-8 bytes of text in a chunk; units with more characters than fit in a bit mask go to a helper.
-CHUNK_BYTES, MASK_CHARS = 12 << 20, 60
+CHUNK_BYTES, MASK_CHARS = 8 << 20, 60
 #: Buckets of units for each chunk: small enough that a bucket's edges are sorted in memory.
 BUCKETS = 4
 #: An edge in one number, in the order of merging: 23 bits of place, 6 of start, 6 of size, 28 of id.
@@ -366,9 +366,10 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spell = sent.value
-            texts = [
-                None if ids is None else b"".join([spell[i] for i in ids]).removeprefix(b" ").decode("utf-8", "replace")
-                for ids in batch.column("ids").to_pylist()
+            texts = [  # one row's ids at a time: as Python numbers they take ten times their size
+                None if not ids.is_valid
+                else b"".join([spell[i] for i in ids.values.to_pylist()]).removeprefix(b" ").decode("utf-8", "replace")
+                for ids in batch.column("ids")
             ]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "decoded"])
 
