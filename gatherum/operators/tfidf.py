@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -110,14 +109,14 @@ class TfidfModel:
         # a document's cells are bounded by the distinct terms of that one document
         rows = cells.groupBy("id").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
 
-        @F.pandas_udf(VectorUDT())
-        def pack(at: pd.Series, value: pd.Series) -> pd.Series:
-            return pd.Series([
-                SparseVector(size, [], []) if i is None else SparseVector(size, i, v) for i, v in zip(at, value)
-            ])
+        def pack(cells: list | None) -> SparseVector:
+            cells = cells or []
+            return SparseVector(size, [c[0] for c in cells], [c[1] for c in cells])
 
-        return docs.select("id").join(rows, "id", "left").select(
-            "id", pack("cells.idx", "cells.w").alias("features")
+        return (  # a function on Arrow batches cannot return vectors
+            docs.select("id")
+            .join(rows, "id", "left")
+            .select("id", F.udf(pack, VectorUDT())("cells").alias("features"))
         )
 
 
