@@ -3,8 +3,10 @@
 A text is cut into sentences, each normalised to lower-case letters and digits. Known licence
 sentences get their identifiers, and the sequence of identifiers of a document is matched against
 ordered rules: a rule that finds its identifiers side by side takes them away from later rules.
-Text is read twice, once with a line end as the end of a sentence and once as a space, so wrapped
-paragraphs and one-line notices are both found. All of it is Spark functions on one row.
+Text is read with a line end as the end of a sentence and with a line end as a space, so wrapped
+paragraphs and one-line notices are both found. A text with web addresses is read a third time, line
+ends as spaces and each address a sentence of its own: a notice that names one needs no line ends
+around it. All of it is Spark functions on one row.
 
 Null and empty texts and texts without a known sentence have no identifiers and no licences.
 Repeated sentences are listed each time; repeated rows are scanned alike.
@@ -13,6 +15,7 @@ Repeated sentences are listed each time; repeated rows are scanned alike.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +77,7 @@ RULES = (
 #: Every rule has a sentence with one of these, so texts without them are not cut into sentences.
 HINTS = "licen[sc]|permission|permitted|warrant|redistribut|copyright"
 ENDS = r"[.!?;:]+([ \t\r\f\x0B\n]+|$)"
+ADDRESS = r"(https?://|www\.)[^ \t\r\f\x0B\n]+"
 OTHER = r"[^\p{L}\p{N}\n]+"
 
 
@@ -97,10 +101,12 @@ def sequence_of(names: tuple[str, ...]) -> str:
     return "," + ",".join(ids) + ","
 
 
-def sentence_ids(text: Column, lines_end: bool) -> Column:
+def sentence_ids(text: Column, lines_end: bool, addresses_end: bool = False) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     lower = F.lower(text)
     joined = lower if lines_end else F.regexp_replace(lower, "\n", " ")
+    if addresses_end:
+        joined = F.regexp_replace(joined, ADDRESS, "\n")
     plain = F.regexp_replace(F.regexp_replace(joined, ENDS, "\n"), OTHER, " ")
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     bare = F.regexp_replace(F.regexp_replace(plain, " ?\n ?", "\n"), "^ | $", "")
@@ -116,12 +122,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     read = docs.select(
         F.col(id_col).alias("key"), sentence_ids(text, True).alias("by_line"),
         sentence_ids(text, False).alias("by_space"),
+        F.when(F.lower(text).rlike(ADDRESS), sentence_ids(text, False, True)).otherwise(
+            F.array().cast("array<string>")
+        ).alias("by_address"),
     )
     found: dict[str, Column] = {}
-    rests = [F.concat(F.lit(","), F.array_join(c, ","), F.lit(",")) for c in ("by_line", "by_space")]
+    rests = [F.concat(F.lit(","), F.array_join(c, ","), F.lit(",")) for c in ("by_line", "by_space", "by_address")]
     for licence, names in RULES:
         pattern = F.lit(sequence_of(names))
-        hit = rests[0].contains(pattern) | rests[1].contains(pattern)
+        hit = reduce(Column.__or__, [r.contains(pattern) for r in rests])
         found[licence] = found[licence] | hit if licence in found else hit
         if len(names) > 1:  # only longer rules hold sentences that later ones ask for
             rests = [F.replace(r, pattern, F.lit(",")) for r in rests]

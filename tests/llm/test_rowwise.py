@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import pytest
@@ -217,3 +218,18 @@ def test_licences(spark):
     assert got == {1: ["MIT"], 2: ["MIT"], 3: [], 4: [], 5: [], 6: ["Apache-2.0", "GPL-3.0-only"], 7: ["CC-BY-NC-4.0"]}
     for _, names in licenses.RULES:  # no text that a rule fits is passed over
         assert any(re.search(licenses.HINTS, licenses.SENTENCES[n].lower()) for n in names)
+
+
+def test_licence_header_whatever_its_line_ends(spark):
+    s = licenses.SENTENCES
+    url = "http://www.apache.org/licenses/LICENSE-2.0"
+    line = f"{s['apache-ref-long']}; {s['apache-use']} {s['apache-copy']} {url} {s['apache-law']} {s['apache-see']}"
+    split = line.replace("a copy of", "a copy\nof")
+    texts = {
+        1: line, 2: split, 3: "# " + "\n# ".join(textwrap.wrap(line, 50)), 4: "\n".join(textwrap.wrap(line, 72)),
+        5: line.replace(url, f"\n\n  {url}\n\n"), 6: line.split(url)[0] + url, 7: line.split(url)[1],
+        8: f"see {url} for a license", 9: split.split(url)[0] + url + ".",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["key"]: list(r["licenses"]) for r in licenses.scan(docs).collect()}
+    assert got == {i: [] if i == 8 else ["Apache-2.0"] for i in texts}
