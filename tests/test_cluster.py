@@ -186,6 +186,15 @@ def test_ward_regions_agree_with_one_task(spark, cloud):
     assert ward_tree(space, group_rows=20).count() == 59
 
 
+def test_ward_tree_is_the_same_at_every_group_size(spark):
+    x = np.random.default_rng(3).normal(size=(90, 3)).round(2)  # no clear groups, so the order of merges tells
+    trees = []
+    for rows, group in ((4096, None), (15, 40), (30, 20)):
+        tree = ward_tree(neighbors.build_space(table(spark, x), block_rows=rows), group_rows=group)
+        trees.append(sorted(tuple(r) for r in tree.collect()))
+    assert len(trees[0]) == 89 and all(t == trees[0] for t in trees)
+
+
 def by_levels(x, size, samples):
     """HDBSCAN by components at every distance: what the operator must give."""
     n = len(x)
