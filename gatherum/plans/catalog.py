@@ -286,6 +286,15 @@ def explained_variance(spark, sf):
         r6("explained_variance").alias("explained_variance"))
 
 
+@query()
+def explained_variance_svd(spark, sf):
+    """Share of the variance of all columns that 16 fitted components keep."""
+    x = cut(vectors.from_arrays(_table(spark, sf, "embeddings"), "vec_id", "embedding"))
+    reduced = svd.fit_svd(x, 16).project(x, normalise=False)
+    return svd.explained_variance(x, reduced).select(
+        r6("explained_variance").alias("explained_variance"))
+
+
 @query()
 def svd_reduce(spark, sf):
     x = _tfidf(_documents(spark, sf))

@@ -8,6 +8,7 @@ from gatherum.operators.components import connected_components, symmetrise
 from gatherum.operators.dbscan import dbscan
 from gatherum.operators.hdbscan import hdbscan, spanning_tree
 from gatherum.operators.ward import ward, ward_tree
+from gatherum.plans import catalog
 
 
 def table(spark, x, parts=3):
@@ -169,6 +170,15 @@ def test_symmetrise(spark):
         (1, 2, 1.0), (2, 1, 1.0), (1, 3, 0.5), (3, 1, 0.5)}
 
 
+def test_explained_variance_is_of_fitted_components(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(300, 64)) * 1.15 ** np.arange(64) + 0.5  # the first columns say least
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    z = x @ np.linalg.svd(x, full_matrices=False)[2][:16].T
+    got = catalog.explained_variance_svd(spark, str(tmp_path)).first()[0]
+    assert got == pytest.approx(z.var(0).sum() / x.var(0).sum(), abs=1e-3)
+
+
 def test_ward(spark):
     x = np.array([[0.0, 0], [0, 0.1], [0.1, 0], [9, 9], [9, 9.1], [9.1, 9], [9, 9]])
     assert labels(ward(table(spark, x), 2)) == [0, 0, 0, 1, 1, 1, 1]
