@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gatherum.llm import decontaminate, language, licenses, near_dedup, oracles, pieces, quality, shards, substring_dedup, toxicity, url_filter
+from gatherum.llm import decontaminate, language, licenses, near_dedup, oracles, pieces, quality, runs, shards, substring_dedup, toxicity, url_filter
 from gatherum.llm.common import held_out
 
 
@@ -88,7 +88,39 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_substring_dedup, op4_toxicity, op5_near_dedup, op6_language, op7_pieces, op8_shards, op9_licenses, op10_quality)}
+def _with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: in every tenth document by crc32 of the id, the words from some place on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.col("text").cast("string"), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    chosen = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    n, g = F.col("n").cast("long"), F.floor(F.col("h") / 10)
+    placed = (
+        chosen.withColumn("n", F.size("words"))
+        .withColumn("a", F.when(F.col("n") > 0, g % n))
+        .withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)))
+    )
+    a, p = F.col("a").cast("int"), F.col("p").cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("words", a + 1, p), 11))  # 3 + 7 periods and a part at most
+    planted = F.array_join(F.slice(F.concat(F.slice("words", 1, a), tail), 1, F.col("n")), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(_with_periodic_tails(_table(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    stronger = lambda best, r: F.when(  # noqa: E731  runs come by start, then period, so the first of equals stays
+        best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r
+    ).otherwise(best)
+    best = F.aggregate("runs", F.lit(None).cast(runs.RUN), stronger)
+    return found.withColumn("best", best).select(
+        F.col("key").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_substring_dedup, op4_toxicity, op5_near_dedup, op6_language, op7_pieces, op8_shards, op9_licenses, op10_quality, op13_runs)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
