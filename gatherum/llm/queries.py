@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gatherum.llm import decontaminate, language, licenses, near_dedup, oracles, pieces, quality, runs, shards, substring_dedup, toxicity, url_filter
+from gatherum.llm import boosting, decontaminate, language, licenses, near_dedup, oracles, pieces, quality, runs, shards, substring_dedup, toxicity, url_filter, whitening
 from gatherum.llm.common import held_out
 
 
@@ -88,6 +88,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    found = whitening.fit(rows)
+    whitened = whitening.whiten(rows, found)
+    values, n, trace = (found.values.tolist(), found.n, found.trace) if found else ([], 0, 1.0)
+    share = F.array(*[F.lit(v / trace) for v in values]).cast("array<double>")
+    return whitened.select("key", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        F.col("key").alias("vec_id"), (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"),
+        F.col("deviation").try_cast("long").alias("deviation"), "whitened", F.get(share, F.col("at")).alias("explained"),
+        F.lit(whitening.identity_error(whitened, len(values))).alias("identity_error"),
+    )
+
+
+def op12_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = boosting.train(docs, _table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
+    return boosting.score(docs, trees).select(
+        F.col("key").alias("doc_id"), held_out("key", 5, 0).alias("held_out"), "score", "predicted"
+    )
+
+
 def _with_periodic_tails(docs: DataFrame) -> DataFrame:
     """``(doc_id, text)``: in every tenth document by crc32 of the id, the words from some place on repeat."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -120,7 +141,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_substring_dedup, op4_toxicity, op5_near_dedup, op6_language, op7_pieces, op8_shards, op9_licenses, op10_quality, op13_runs)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_substring_dedup, op4_toxicity, op5_near_dedup, op6_language, op7_pieces, op8_shards, op9_licenses, op10_quality, op11_whitening, op12_boosting, op13_runs)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
