@@ -59,7 +59,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), PIECES), PIECES)
+    coded = pieces.encode(_table(spark, sf_dir, "documents"), PIECES, decoded=True)
     return coded.select(
         F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
         F.xxhash64("ids").alias("ids_xxh64"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
