@@ -41,7 +41,7 @@ from gatherum.llm.common import pieces_of, table_bytes
 
 SPACE = "▁"
 #: UTF-8 bytes of text in a chunk, characters of an atom that fit in the mask, text cut at a time.
-CHUNK_BYTES, MASK_CHARS, SLICE = 8 << 20, 60, 1 << 20
+CHUNK_BYTES, MASK_CHARS, SLICE = 4 << 20, 60, 1 << 20
 #: Most partitions of a shuffle; each holds more chunks beyond that.
 MOST_PARTS = 1 << 14
 #: An edge in one number, in the order of merging: 23 bits of place, 6 of start, 6 of size, 28 of id.
