@@ -11,8 +11,6 @@ language or text; with none left every text is ``und``. Ties go to the first lan
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,9 +18,8 @@ from pyspark.sql import functions as F
 
 from gatherum.llm.common import per_row
 
-#: Training rows per language (as a hash share of all), the longest of them, and contexts kept.
-TRAIN_ROWS, TRAIN_BYTES, MAX_GRAMS = 400, 200_000, 1 << 19
-LETTER = re.compile(r"[^\W\d_]")
+#: Training rows per language (as a hash share of all) and the longest of them.
+TRAIN_ROWS, TRAIN_BYTES = 400, 200_000
 SLICE = 1 << 20
 
 
@@ -104,12 +101,6 @@ class Model:
     def __init__(self, languages: list[str], costs: dict | None):
         self.languages, self.costs, self.tables = languages, costs, None
 
-    def __getstate__(self):
-        return self.languages, self.costs
-
-    def __setstate__(self, state):
-        (self.languages, self.costs), self.tables = state, None
-
     def byte_bits(self, codes: np.ndarray) -> np.ndarray:
         """Code length in bits, per language, of the last byte of each 4-byte code."""
         t = self.costs
@@ -154,12 +145,12 @@ def _grams(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 def train(
     docs: DataFrame, use: Column, text_col: str = "text", lang_col: str = "lang",
-    rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES, max_grams: int = MAX_GRAMS,
+    rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES,
 ) -> Model:
     """Learn from about ``rows`` rows a language among those for which ``use`` is true.
 
-    The rows are a hash share of each language's rows, none longer than ``max_bytes``; the
-    driver gets counts of 4-byte grams, at most ``max_grams`` for each language.
+    The rows are a hash share of each language's rows, none longer than ``max_bytes``. The driver
+    gets the counts of all their 4-byte grams, so ``rows`` and ``max_bytes`` bound what it holds.
     """
     body = F.col(text_col).cast("string").cast("binary")
     pool = docs.filter(use & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
@@ -188,9 +179,7 @@ def train(
         picked.mapInArrow(count, "lang string, code long, n long")
         .groupBy("lang", "code").agg(F.sum("n").alias("n"))
     )
-    # rows x bytes bound what is counted; the rarest grams go if a language has still too many
-    table = found.toArrow().to_pandas().sort_values(["lang", "n", "code"], ascending=[True, False, True])
-    table = table.groupby("lang").head(max_grams).sort_values(["lang", "code"])
+    table = found.toArrow().to_pandas().sort_values(["lang", "code"])  # rows x bytes bound what is counted
     languages = sorted(table["lang"].unique())
     own = [table[table["lang"] == x] for x in languages]
     return Model(
@@ -203,11 +192,14 @@ def predict(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False
 ) -> DataFrame:
     """``(key, [row,] lang_pred, score)`` for each row: best language and its posterior share."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.costs))  # plain data
+    built: list[Model] = []  # once in each worker
 
     def compute(texts: list) -> pa.RecordBatch:
-        m = sent.value
-        known = [bool(m.languages and t and LETTER.search(t.decode("utf-8", "replace"))) for t in texts]
+        if not built:
+            built.append(Model(*sent.value))
+        m = built[0]
+        known = [bool(m.languages and t and any(map(str.isalpha, t.decode("utf-8", "replace")))) for t in texts]
         lang, score = ["und"] * len(texts), np.zeros(len(texts))
         at = np.flatnonzero(known)
         if len(at):

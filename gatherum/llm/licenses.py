@@ -8,8 +8,12 @@ paragraphs and one-line notices are both found. A text with web addresses is rea
 ends as spaces and each address a sentence of its own: a notice that names one needs no line ends
 around it. All of it is Spark functions on one row.
 
+The identifiers given are those of the first reading, in that order, in which a rule fits; if none
+does, of the reading by lines.
+
 Null and empty texts and texts without a known sentence have no identifiers and no licences.
-Repeated sentences are listed each time; repeated rows are scanned alike.
+Repeated sentences are listed each time; repeated rows are scanned alike; an empty table gives an
+empty result. A text is one row however long it is.
 """
 
 from __future__ import annotations
@@ -117,7 +121,7 @@ def sentence_ids(text: Column, lines_end: bool, addresses_end: bool = False) ->
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(key, sentence_ids, licenses)``, two arrays in order: as read by lines, as rules come."""
+    """``(key, sentence_ids, licenses)``, two arrays in order: as read, as rules come."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     read = docs.select(
         F.col(id_col).alias("key"), sentence_ids(text, True).alias("by_line"),
@@ -127,12 +131,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         ).alias("by_address"),
     )
     found: dict[str, Column] = {}
-    rests = [F.concat(F.lit(","), F.array_join(c, ","), F.lit(",")) for c in ("by_line", "by_space", "by_address")]
+    readings = ("by_line", "by_space", "by_address")
+    rests = [F.concat(F.lit(","), F.array_join(c, ","), F.lit(",")) for c in readings]
+    fits = [F.lit(False)] * len(readings)
     for licence, names in RULES:
         pattern = F.lit(sequence_of(names))
-        hit = reduce(Column.__or__, [r.contains(pattern) for r in rests])
+        hits = [r.contains(pattern) for r in rests]
+        fits = [a | b for a, b in zip(fits, hits, strict=True)]
+        hit = reduce(Column.__or__, hits)
         found[licence] = found[licence] | hit if licence in found else hit
         if len(names) > 1:  # only longer rules hold sentences that later ones ask for
             rests = [F.replace(r, pattern, F.lit(",")) for r in rests]
     licences = F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in found.items()]))
-    return read.select("key", F.col("by_line").alias("sentence_ids"), licences.alias("licenses"))
+    used = F.coalesce(*[F.when(f, F.col(c)) for f, c in zip(fits, readings, strict=True)], F.col("by_line"))
+    return read.select("key", used.alias("sentence_ids"), licences.alias("licenses"))

@@ -67,35 +67,41 @@ def licenses_sql() -> str:
     ends = licenses.ENDS.replace("\\x0B", "\\v")
     known = "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in licenses.KNOWN.items()) + "}"
 
+    lower = "lower(coalesce(text, ''))"
+    address = licenses.ADDRESS.replace("\\x0B", "\\v")
+
     def ids(text: str) -> str:
         plain = f"regexp_replace(regexp_replace({text}, '{ends}', chr(10), 'g'), '{licenses.OTHER}', ' ', 'g')"
         bare = f"regexp_replace(regexp_replace({plain}, ' ?\\n ?', chr(10), 'g'), '^ | $', '', 'g')"
         parts = f"list_filter(string_split({bare}, chr(10)), lambda s: map_contains(known, s))"
-        return f"CASE WHEN regexp_matches({text}, '{licenses.HINTS}') THEN list_transform({parts}, lambda s: known[s]) ELSE [] END"
+        return f"CASE WHEN regexp_matches({lower}, '{licenses.HINTS}') THEN list_transform({parts}, lambda s: known[s]) ELSE [] END"
 
-    lower = "lower(coalesce(text, ''))"
-    steps = [
-        f"s0 AS (SELECT doc_id, by_line, ',' || array_to_string(by_line, ',') || ',' AS a, "
-        f"',' || array_to_string(by_space, ',') || ',' AS b FROM read)"
-    ]
+    by_space = f"replace({lower}, chr(10), ' ')"
+    by_address = f"regexp_replace({by_space}, '{address}', chr(10), 'g')"
+    rests = ", ".join(f"',' || array_to_string({c}, ',') || ',' AS {r}" for c, r in (("by_line", "a"), ("by_space", "b"), ("by_address", "c")))
+    steps = [f"s0 AS (SELECT *, {rests}, false AS fa, false AS fb, false AS fc FROM read)"]
     found: dict[str, list[str]] = {}
     for i, (name, parts) in enumerate(licenses.RULES):
         pattern = _quoted(licenses.sequence_of(parts))
         found.setdefault(name, []).append(f"h{i}")
         rest = (lambda c, p=pattern: f"replace({c}, {p}, ',') AS {c}") if len(parts) > 1 else (lambda c: c)
+        fits = ", ".join(f"f{c} OR contains({c}, {pattern}) AS f{c}" for c in "abc")
+        hit = " OR ".join(f"contains({c}, {pattern})" for c in "abc")
         steps.append(
-            f"s{i + 1} AS (SELECT * EXCLUDE (a, b), {rest('a')}, {rest('b')}, contains(a, {pattern}) OR contains(b, {pattern}) AS h{i} FROM s{i})"
+            f"s{i + 1} AS (SELECT * EXCLUDE (a, b, c, fa, fb, fc), {', '.join(map(rest, 'abc'))}, {fits}, {hit} AS h{i} FROM s{i})"
         )
     names = ", ".join(f"CASE WHEN {' OR '.join(hits)} THEN {_quoted(name)} END" for name, hits in found.items())
     return f"""
 WITH known AS (SELECT {known} AS known),
 read AS (
-  SELECT doc_id, {ids(lower)} AS by_line, {ids(f"replace({lower}, chr(10), ' ')")} AS by_space
+  SELECT doc_id, {ids(lower)} AS by_line, {ids(by_space)} AS by_space,
+         CASE WHEN regexp_matches({lower}, '{address}') THEN {ids(by_address)} ELSE [] END AS by_address
   FROM documents, known),
 {", ".join(steps)}
-SELECT doc_id, CAST(len(by_line) AS BIGINT) AS n_sentences, array_to_string(by_line, ',') AS sentence_ids,
+SELECT doc_id, CAST(len(used) AS BIGINT) AS n_sentences, array_to_string(used, ',') AS sentence_ids,
        array_to_string(list_filter([{names}], lambda x: x IS NOT NULL), ',') AS licenses
-FROM s{len(licenses.RULES)}"""
+FROM (SELECT *, CASE WHEN fa THEN by_line WHEN fb THEN by_space WHEN fc THEN by_address ELSE by_line END AS used
+      FROM s{len(licenses.RULES)})"""
 
 
 ORACLES = {"op2_url_filter": url_filter_sql(), "op9_licenses": licenses_sql()}

@@ -125,7 +125,7 @@ def assign(
     begins, _ = cut_points(slim.select("digest", "size"), shards)
     bounds = F.array(*[F.lit(b) for b in begins]).cast("array<string>")
     placed = slim.withColumn("shard", F.size(F.filter(bounds, lambda b: b <= F.col("digest")))).withColumn(
-        "cell", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(cells)).cast("int")
+        "cell", F.pmod(F.xxhash64("key", "digest", F.lit(7)), F.lit(cells)).cast("int")
     )
     filled = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))  # shards x cells rows
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)

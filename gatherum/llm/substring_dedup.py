@@ -13,9 +13,10 @@ is streamed through the suffix automaton of the earlier ones for its matching st
 every span matched over at least ``n`` words is removed. A shard with over ``MAX_VARIANTS``
 different segments (the edges of very common passages) is cut finer, into one for each window.
 
-Null and empty texts have no words. A null id comes before all others. Rows that share an id are
-ordered by a hash of their text, and rows equal in both count as one document: nothing of them
-repeats the other. Integer ids only.
+Null and empty texts have no words; an empty table gives an empty result. A null id comes before all
+others. Rows that share an id, null ids too, are ordered by a hash of their text, and rows equal in
+both count as one document: nothing of them repeats the other. Ids are integers above -2^62. A text
+of 2^28 windows or more (at least half a gigabyte) is an error.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ NO_ID = -(1 << 63)
 
 
 def _text_tag(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) >> (64 - TEXT_BITS)
+    return xxhash.xxh64_intdigest(text, seed=42) >> (64 - TEXT_BITS)  # as Spark's xxhash64
 
 
 def _chained(code: np.ndarray, n: int) -> np.ndarray:
@@ -89,6 +90,8 @@ def segments(texts: list, n: int) -> dict[str, np.ndarray]:
     if not valid.any():
         return none
     windows, anchor, doc, place = windows[valid], anchor[valid], doc[valid], place[valid]
+    if place.max() >> FIRST_BITS:
+        raise ValueError(f"a text has more than {1 << FIRST_BITS} windows")
     new = np.ones(len(windows), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     head = np.flatnonzero(new)
@@ -385,7 +388,8 @@ def remove_repeats(
     if n < GRAM:
         raise ValueError(f"windows of fewer than {GRAM} words are not supported")
     body = F.col(text_col).cast("string").cast("binary").alias("body")
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id")
+    tag = F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 64 - TEXT_BITS)
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + tag).alias("id")  # null ids by their text
     source = docs.select(key, body)
     found = source.mapInArrow(_emit_segments(n), "anchor long, digest long, id long, pack long, settled boolean")
     decided = cut(

@@ -7,7 +7,8 @@ lower bound of its posterior bad rate passes a limit. Fixed rules come first.
 
 Null urls and urls without ``://`` have an empty host and path, which is judged like any other
 host. Pages without an outcome count for nothing but are judged; an outcome without a page is
-ignored; repeated outcomes of one page id each count. With no outcomes at all every prior is flat.
+ignored; repeated outcomes of one page id each count, and so does each of several pages of one id.
+With no outcomes at all every prior is flat. An empty table of pages gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatherum.session import cut
+
 #: (action, rule): a host, then a path prefix.
 RULES = (
     ("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"),
@@ -91,11 +94,14 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
         .withColumn("domain", domain_of(F.col("host")))
         .withColumn("suffix", suffix_of(F.col("host")))
     )
-    total = lambda *by: hosts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    root = hosts.agg(((F.sum("k") + 0.5) / (F.sum("n") + 1)).alias("m"))
-    suffixes = _shrunk(total("suffix").join(F.broadcast(root)))
+    hosts = cut(hosts)  # read once for each level and for each level's strength
+    total = lambda of, *by: of.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    per_domain = cut(total(hosts, "suffix", "domain"))
+    per_suffix = cut(total(per_domain, "suffix"))
+    root = per_suffix.agg(((F.sum("k") + 0.5) / (F.sum("n") + 1)).alias("m"))
+    suffixes = _shrunk(per_suffix.join(F.broadcast(root)))
     up = suffixes.select("suffix", (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
-    domains = _shrunk(total("suffix", "domain").join(up, "suffix"))
+    domains = _shrunk(per_domain.join(up, "suffix"))
     up = domains.select("domain", (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
     return _shrunk(hosts.join(up, "domain")).select("host", "n", "k", "a", "b")
 

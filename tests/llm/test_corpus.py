@@ -276,3 +276,33 @@ def test_run_is_the_stages_in_a_row(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "n_tokens", "ids", "round_trip"]
     assert 0 < got.count() <= 200
+
+
+def test_pipeline_stages_on_awkward_tables(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, clashing columns, no ``n_chars``, and an empty table."""
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words, "en"), (2, words + " more", "en"), (None, words, "en"), (3, None, "en"), (4, "", None), (5, "12 !", "en"),
+            (5, "plain words here", "en"), (6, "plain words here", None), (6, "plain words here", None)]
+    spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for name in ("key", "row", "id", "ids", "kept", "component_id", "n_words", "spans", "score"):
+        docs = docs.withColumn(name, F.lit(1))
+    for frame in (docs, docs.filter("false")):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame, str(tmp_path))
+            assert out.columns == frame.columns
+            frame = out
+        coded = corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).collect()
+        assert all(r["round_trip"] for r in coded)
+    assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [0, 1, 2, 5, 6, 6]
+
+
+def test_null_ids_are_dealt_by_their_text(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(None, " ".join(words))] * 2 + [(None, " ".join(words[5:] + ["x"])), (7, " ".join(words[:30]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["row"]["text"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs).collect()]
+    assert (rows[3][1], 30) in got  # a null id comes before all others
+    lost = dict(got)
+    assert sorted((lost[rows[0][1]], lost[rows[2][1]])) == [0, 35]  # one of the two comes first
+    assert [x for x in got if x[0] == rows[0][1]] == [(rows[0][1], lost[rows[0][1]])] * 2

@@ -6,10 +6,12 @@ import re
 import textwrap
 import zlib
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatherum.llm import common, decontaminate, language, licenses, quality, toxicity, url_filter
+from gatherum.llm import common, decontaminate, language, licenses, oracles, quality, queries, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 AWKWARD = [None, "", " ", "\n\n", "a", "É", "one two", "x" * 50_000, "word " * 30_000, "\x00\x1c \x85 a　b"]
@@ -180,6 +182,77 @@ def test_language_code_lengths_are_brute_force():
         assert abs(model.text_bits([text])[0, 0] - want) < 1e-3
 
 
+def test_signs_that_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "½ ² ①"), (2, "a½"), (3, "12 _"), (4, "漢")], "doc_id long, text string")
+    learned = language.train(docs.withColumn("lang", F.lit("x")), F.lit(True))
+    got = {r["key"]: r["lang_pred"] for r in language.predict(docs, learned).collect()}
+    assert got == {1: "und", 2: "x", 3: "und", 4: "x"}
+
+
+def small_net(monkeypatch):
+    """A net over few buckets, so that every entry can be tried."""
+    monkeypatch.setattr(toxicity, "BUCKETS", 12)
+    net = toxicity.Net(3)
+    rng = np.random.default_rng(3)
+    net.embed = rng.standard_normal((12, toxicity.DIM)) * 0.5
+    net.filters = [f.astype(float) for f in net.filters]
+    net.out = rng.standard_normal(len(net.out))
+    return net
+
+
+def pooled_by_definition(net, texts):
+    """Every filter at every place of every text, rectified; the most of it."""
+    best = np.zeros((len(texts), len(net.out)))
+    for d, ids in enumerate(texts):
+        e = net.embed[ids].sum(axis=1)
+        for k, (w, f) in enumerate(zip(toxicity.WIDTHS, net.filters, strict=True)):
+            for p in range(len(ids) - w + 1):
+                for j in range(toxicity.FILTERS):
+                    at = k * toxicity.FILTERS + j
+                    best[d, at] = max(best[d, at], e[p : p + w].ravel() @ f[:, j])
+    return best
+
+
+def test_toxicity_pools_are_a_plain_convolution(monkeypatch):
+    net = small_net(monkeypatch)
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 12, (9, 3))  # buckets of nine distinct words
+    numbers = [rng.integers(0, 9, n) for n in (0, 1, 2, 3, 40, 1, 0, 25)]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in numbers])])
+    want = pooled_by_definition(net, [words[x] for x in numbers])
+    for size in (1 << 19, 7, 3):
+        monkeypatch.setattr(toxicity, "SLICE", size)
+        assert np.abs(net.pooled(starts, words, np.concatenate(numbers)) - want).max() < 1e-5
+
+
+def test_toxicity_steps_follow_the_gradient(monkeypatch):
+    net = small_net(monkeypatch)
+    monkeypatch.setattr(toxicity, "DECAY", 0.0)
+    rng = np.random.default_rng(2)
+    texts, y = [rng.integers(0, 12, (n, 3)) for n in (5, 9, 2, 1)], np.array([1.0, 0.0, 1.0, 0.0])
+
+    def loss():
+        z = pooled_by_definition(net, texts) @ net.out + net.bias
+        return float(np.mean(np.log1p(np.exp(-np.where(y == 1, z, -z)))))
+
+    slopes = {}
+    for name, value in (("embed", net.embed), ("out", net.out), *((f"f{i}", f) for i, f in enumerate(net.filters))):
+        slope = np.zeros_like(value)
+        for at in np.ndindex(value.shape):
+            old = value[at]
+            ends = []
+            for step in (1e-6, -1e-6):
+                value[at] = old + step
+                ends.append(loss())
+            value[at] = old
+            slope[at] = (ends[0] - ends[1]) / 2e-6
+        slopes[name] = slope
+    state = {}
+    net.step(texts, y, state)
+    for name, slope in slopes.items():  # the state sums the squares of the gradients
+        assert np.abs(np.sqrt(np.maximum(state[name] - 1e-6, 0)) - np.abs(slope)).max() < 2e-3, name
+
+
 def test_language_and_toxicity_on_awkward_rows(spark):
     docs = docs_of(spark, AWKWARD).withColumn("lang", F.when(F.col("doc_id") > 3, "en"))
     model = language.train(docs, F.lit(True))
@@ -220,6 +293,65 @@ def test_licences(spark):
         assert any(re.search(licenses.HINTS, licenses.SENTENCES[n].lower()) for n in names)
 
 
+def test_licence_sql_reads_addresses_too(spark, tmp_path):
+    s = licenses.SENTENCES
+    url = "http://www.apache.org/licenses/LICENSE-2.0"
+    header = f"{s['apache-ref-long']}; {s['apache-use']} {s['apache-copy']} {url} {s['apache-law']} {s['apache-see']}"
+    texts = [header, header.replace("a copy of", "a copy\nof"), "\n".join(textwrap.wrap(header, 60)), "Released under the MIT License.", None, "", "www.license.org"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op9_licenses(spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(db.execute(oracles.ORACLES["op9_licenses"]).fetchall())
+    assert [r[3] for r in got[:4]] == ["Apache-2.0"] * 3 + ["MIT"] and all(r[1] > 1 for r in got[:3])
+
+
+def test_url_filter_on_empty_and_repeated_pages(spark):
+    pages = spark.createDataFrame([], "page_id long, url string")
+    outcomes = spark.createDataFrame([], "page_id long, bad int")
+    assert url_filter.judge(pages, outcomes).count() == 0
+    rows = [(1, "http://a.com/"), (1, "http://a.com/"), (None, "http://a.com/"), (2, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1)).withColumn("n", F.lit(2))
+    assert {r["verdict"] for r in url_filter.judge(pages, outcomes).collect()} == {"allow"}
+    marked = spark.createDataFrame([(1, 1), (1, None), (9, 0)], "page_id long, bad int").withColumn("k", F.lit(3))
+    got = url_filter.judge(pages, marked).collect()
+    assert len(got) == 4 and {(r["host"], r["n_labelled"], r["n_bad"]) for r in got} == {("a.com", 2, 2), ("", 0, 0)}
+
+
+CONTRACTS = {
+    "op1_decontaminate": "doc_id:bigint,n_words:bigint,n_hit:bigint,n_items:bigint,items_sha256:string,contaminated:boolean",
+    "op2_url_filter": "page_id:bigint,host:string,path:string,rule:string,verdict:string",
+    "op3_substring_dedup": "doc_id:bigint,n_words:bigint,n_removed:bigint,kept_sha256:string",
+    "op4_toxicity": "doc_id:bigint,held_out:boolean,score:double,predicted:int",
+    "op5_near_dedup": "doc_id:bigint,n_shingles:bigint,component_id:bigint,kept:boolean",
+    "op6_language": "doc_id:bigint,held_out:boolean,lang_pred:string,score:double",
+    "op8_shards": "doc_id:bigint,size:bigint,text_crc32:bigint,law:string,shard:int,slot:bigint,grown_shard:int",
+    "op10_quality": "doc_id:bigint,n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,base_failed:boolean,kept:boolean",
+}
+
+
+@pytest.mark.parametrize("name", CONTRACTS)
+def test_contract_columns(spark, name):
+    table = queries.QUERIES[name](spark, SF)
+    kinds = dict(table.dtypes)
+    for part in CONTRACTS[name].split(","):
+        column, kind = part.split(":")
+        assert kinds[column] == kind
+    rows = table.collect()
+    source = "pages" if name == "op2_url_filter" else "documents"
+    assert len(rows) == spark.read.parquet(f"{SF}/{source}.parquet").count()
+    buckets = {"op4_toxicity": (5, 0), "op6_language": (3, 1)}.get(name)
+    if buckets:
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % buckets[0] == buckets[1]) for r in rows)
+        assert all(0 <= r["score"] <= 1 for r in rows)
+    if name == "op8_shards":
+        assert {r["law"] for r in rows} == {"bytes"} and {r["grown_shard"] for r in rows} == {None}
+        slots = {}
+        for r in rows:
+            slots.setdefault(r["shard"], []).append(r["slot"])
+        assert all(sorted(x) == list(range(len(x))) and 0 <= s < 40 for s, x in slots.items())
+
+
 def test_licence_header_whatever_its_line_ends(spark):
     s = licenses.SENTENCES
     url = "http://www.apache.org/licenses/LICENSE-2.0"
