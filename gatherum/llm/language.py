@@ -20,7 +20,7 @@ from gatherum.llm.common import per_row
 
 #: Training rows per language (as a hash share of all) and the longest of them.
 TRAIN_ROWS, TRAIN_BYTES = 400, 200_000
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 class _Table:
@@ -120,12 +120,12 @@ class Model:
     def text_bits(self, texts: list[bytes]) -> np.ndarray:
         """Total code length of each text in each language."""
         total = np.zeros((len(texts), len(self.languages)))
-        joined = np.frombuffer(b"".join(b"\0\0\0" + t for t in texts), np.uint8).astype(np.uint32)
+        joined = np.frombuffer(b"".join(b"\0\0\0" + t for t in texts), np.uint8)
         ends = np.cumsum([len(t) + 3 for t in texts], dtype=np.int64)
         begins = np.concatenate([[0], ends[:-1]]) + 3
         for a in range(3, len(joined), SLICE):
             b = min(len(joined), a + SLICE)
-            w = joined[a - 3 : b]
+            w = joined[a - 3 : b].astype(np.uint32)
             bits = self.byte_bits(w[:-3] << 24 | w[1:-2] << 16 | w[2:-1] << 8 | w[3:])
             run = np.zeros((b - a + 1, bits.shape[1]))
             np.cumsum(bits, axis=0, out=run[1:])
@@ -192,13 +192,13 @@ def predict(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False
 ) -> DataFrame:
     """``(key, [row,] lang_pred, score)`` for each row: best language and its posterior share."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.costs))  # plain data
-    built: list[Model] = []  # once in each worker
+    sent = docs.sparkSession.sparkContext.broadcast({"languages": model.languages, "costs": model.costs})
 
     def compute(texts: list) -> pa.RecordBatch:
-        if not built:
-            built.append(Model(*sent.value))
-        m = built[0]
+        own = sent.value  # plain data; the worker keeps the model built from it next to it
+        if "model" not in own:
+            own["model"] = Model(own["languages"], own["costs"])
+        m = own["model"]
         known = [bool(m.languages and t and any(map(str.isalpha, t.decode("utf-8", "replace")))) for t in texts]
         lang, score = ["und"] * len(texts), np.zeros(len(texts))
         at = np.flatnonzero(known)

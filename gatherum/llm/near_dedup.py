@@ -11,8 +11,8 @@ Documents with equal sets are one class from the start, so a mass of copies cost
 a band's bucket no pairs are listed: every member is first tried against one hub; only where a
 bucket still holds several components are members of different components compared, in blocks of
 bounded size. A pair at the threshold shares no band with a probability of about 6e-11 (0.85) or
-5e-8 (0.8), short sets somewhat more often (README); the estimate drops a pair at the threshold with
-a probability below ``MISS``, by a bound on the tail of the count of equal registers.
+5e-8 (0.8), short sets somewhat more often (README); the estimate passes pairs four and a half standard
+deviations below the threshold, which drops one right at it with a probability of about 1e-5.
 
 Ids are integers. Null or wordless texts have an empty set and are linked with nothing. Rows with
 a null id are linked with nothing and have a null component. Rows with one id are one document
@@ -39,8 +39,6 @@ BUCKET_BITS = 8  # of a shingle's hash; the other 56 are its value
 MOST_ZEROS, EMPTY = 14, np.uint8(0xFF)
 #: Chance that registers of unrelated minima agree: a third for the zeros, then the mantissa.
 CHANCE = 2.0**-MANTISSA / 3
-#: Most probability that the estimate drops a pair whose similarity is at the threshold.
-MISS = 1e-9
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1000
 UPPER_TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -122,30 +120,16 @@ def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return ((((one == many) & both).sum(axis=1) / used) - CHANCE) / (1 - CHANCE)
 
 
-def floor_of(used: np.ndarray, sizes: np.ndarray, least: float, floors: np.ndarray) -> np.ndarray:
-    """Least estimate that is still looked at: a pair at the threshold falls below with less than ``MISS``.
+def floor_of(used: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """Least estimate that is still looked at: 4.5 standard deviations under the threshold.
 
-    Each of the ``used`` buckets holds one member of the union, all different, so the registers that
-    agree since their member is shared are a sample without replacement. Chernoff's bound for a
-    binomial count holds for it as well. Where they are the whole union of two sets of ``sizes``
-    members together, which has at most ``sizes / (1 + least)``, nothing is left to chance.
+    The ``used`` buckets hold a sample, without replacement, of the union of two sets of
+    ``sizes`` members together, which has at most ``sizes / (1 + least)``. A pair of long texts
+    right at the threshold falls below with a probability of about 1e-5.
     """
     used = np.maximum(used, 1)
-    whole = used * (1 + least) >= sizes  # every member of the union has a bucket of its own
-    return np.where(whole, (least - CHANCE) / (1 - CHANCE) - 1e-9, floors[used])
-
-
-def floors_of(least: float) -> np.ndarray:
-    """For each number of registers the least share q with exp(-used * KL(q, least)) >= MISS."""
-    low, high = np.zeros(REGISTERS + 1), np.full(REGISTERS + 1, least)
-    used = np.arange(REGISTERS + 1)
-    for _ in range(60):
-        q = (low + high) / 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            part = np.where(q > 0, q * np.log(q / least), 0) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - least)), 0)
-        rare = used * part > -np.log(MISS)
-        low, high = np.where(rare, q, low), np.where(rare, high, q)
-    return (low - CHANCE) / (1 - CHANCE) - 1e-9
+    rest = np.maximum(1 - used * (1 + least) / sizes, 0)
+    return least - 4.5 * np.sqrt(least * (1 - least) / used * rest + CHANCE * (1 - least) / used)
 
 
 def _signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -171,8 +155,6 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compare(least: float):
     """Blocks ``(bucket, i, j, rows)``: candidate pairs of different components that meet here first."""
-    floors = floors_of(least)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, bucket, left, right in zip(
@@ -194,7 +176,7 @@ def _compare(least: float):
                         continue
                     guess = estimate(a_sig[k], b_sig[other])
                     used = ((a_sig[k] != EMPTY) | (b_sig[other] != EMPTY)).sum(axis=1)
-                    near = other[guess >= floor_of(used, a_n[k] + b_n[other], least, floors)]
+                    near = other[guess >= floor_of(used, a_n[k] + b_n[other], least)]
                     if len(near):
                         same = band_hashes(a_sig[k]) == bands[near]
                         first = bands[near, same.argmax(axis=1)] == bucket  # else another bucket lists it
@@ -294,8 +276,6 @@ def near_duplicates(
 
 
 def _guess(least: float):
-    floors = floors_of(least)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -307,7 +287,7 @@ def _guess(least: float):
             used = ((a != EMPTY) | (b != EMPTY)).sum(axis=1)
             guess = estimate(a, b)
             both = batch.column("n").to_numpy() + batch.column("hub_n").to_numpy()
-            good = pa.array(guess >= floor_of(used, both, least, floors))
+            good = pa.array(guess >= floor_of(used, both, least))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").filter(good), batch.column("hub").filter(good), pa.array(guess).filter(good)],
                 names=["id", "hub", "guess"],

@@ -316,6 +316,17 @@ def lattice(words: DataFrame, model: Model, *by: str) -> DataFrame:
     return folded.select(*by, "atom", F.transform(placed, lambda e: e.bitwiseAND((1 << 28) - 1).cast("int")).alias("ids"))
 
 
+def _freed(run):
+    """``run``, and then what Arrow holds back for later goes to the system: workers share a small memory."""
+
+    def wrapped(one, two) -> pa.Table:
+        out = run(one, two)
+        pa.default_memory_pool().release_unused()
+        return out
+
+    return wrapped
+
+
 def _answer(model: Model):
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
         """One bucket: counts and ids of the atoms of each chunk, in the order in which they were sent."""
@@ -415,7 +426,7 @@ def encode(
     )
     packed = source.mapInArrow(_pack_rows, "chunk int, blob binary").repartition(parts, "chunk")
     asked = packed.groupBy("chunk").applyInArrow(
-        _send_atoms(atoms, chunks), "chunk int, bucket int, blob binary"
+        _freed(_send_atoms(atoms, chunks)), "chunk int, bucket int, blob binary"
     ).repartition(parts, "bucket")
     words = asked.groupBy("bucket").applyInArrow(_list_atoms, "bucket int, number long, atom string").repartition(parts, "bucket")
     known = lattice(words.filter(F.char_length("atom") < MASK_CHARS), model, "number", "bucket")
@@ -428,7 +439,7 @@ def encode(
     if decoded:
         fields, kind = [*fields, ("decoded", pa.string())], f"{kind}, decoded string"
     return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _assemble(atoms, chunks, pa.schema(fields), model.spelled if decoded else []), kind
+        _freed(_assemble(atoms, chunks, pa.schema(fields), model.spelled if decoded else [])), kind
     )
 
 
