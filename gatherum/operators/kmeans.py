@@ -1,10 +1,17 @@
 """KMeans, mini-batch KMeans, Lloyd steps from given centres, seed sweeps and the elbow curve.
 
-What the driver holds is k x d centres, checked against ``MAX_CENTRE_BYTES``.
+Many fits share their scans: one pass over the rows moves the centres of every open fit, so a range
+of cluster counts or seeds reads the features about as often as one fit. Starts are chosen by
+k-means|| (Bahmani et al. 2012) with samples drawn by a hash of id, round and seed, so a fit does
+not depend on how the rows are partitioned.
+
+What the driver holds is centres, checked against ``MAX_CENTRE_BYTES``.
 """
 
 from __future__ import annotations
 
+import heapq
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -13,19 +20,21 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatherum.functions.sampling import hash_key, hash_sample
 from gatherum.operators.corpus import cluster_sizes
-from gatherum.session import cut
+from gatherum.operators.svd import ROW_BATCH, dense_batch, raw_rows
+from gatherum.session import cut, ensure_checkpoint_dir, keep, parallelism, scratch
 
 MAX_CENTRE_BYTES = 1 << 29
+SWEEP_BYTES = 1 << 26  # centres, and their sums, that a task holds in one scan
 STEPS_PER_JOB = 10  # mini-batches one task takes in turn
-STEPS_PER_DRAW = 100  # mini-batches drawn in one scan of the table; a multiple of the above
+JOB_BYTES = 1 << 26  # rows that such a task holds; a larger batch is worked on by many tasks
+START_ROUNDS = 4
 
 
 @dataclass
@@ -60,64 +69,250 @@ def _best_start(fit: Callable[[int], KMeansFit], seed: int, n_init: int) -> KMea
     return min((fit(seed + 7919 * i) for i in range(n_init)), key=lambda f: f.wcss)
 
 
+# --- scans that many fits share -------------------------------------------------------------
+
+
+def _nearest(block: np.ndarray, used: np.ndarray, centers: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """Squared distances to all centres, less the row's own square."""
+    return square[None, :] - 2 * block @ centers[:, used].T
+
+
+def _sweep(features: DataFrame, fits: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Rows and sums of each cluster, and the cost, of every fit: one scan of ``features``."""
+    every = np.vstack(fits)
+    bounds = np.cumsum([0, *map(len, fits)])
+    width = every.shape[1]
+    held = features.sparkSession.sparkContext.broadcast((every, bounds))
+
+    def run(batches):
+        centers, ends = held.value
+        square = (centers**2).sum(axis=1)
+        count, sums, cost = np.zeros(len(centers)), np.zeros_like(centers), np.zeros(len(ends) - 1)
+        for frame in batches:
+            for a in range(0, len(frame), ROW_BATCH):
+                used, block = dense_batch(frame.iloc[a : a + ROW_BATCH])
+                gap, own = _nearest(block, used, centers, square), (block**2).sum(axis=1)
+                for f, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])):
+                    at = gap[:, lo:hi].argmin(axis=1)
+                    cost[f] += np.maximum(own + gap[np.arange(len(at)), lo + at], 0).sum()
+                    order = np.argsort(at, kind="stable")
+                    found, first = np.unique(at[order], return_index=True)
+                    sums[np.ix_(lo + found, used)] += np.add.reduceat(block[order], first, axis=0)
+                    count[lo + found] += np.diff(np.append(first, len(at)))
+        live = np.flatnonzero(count)
+        yield pd.DataFrame({  # a fit's cost goes along as a centre without a vector
+            "centre": [*live, *range(-len(cost), 0)], "n": [*count[live], *cost],
+            "x": [*(sums[c].tobytes() for c in live), *[b""] * len(cost)],
+        })
+
+    def add_up(batches):
+        totals: dict[int, list] = {}
+        for frame in batches:
+            for centre, n, x in zip(frame["centre"], frame["n"], frame["x"]):
+                total = totals.setdefault(centre, [0.0, np.zeros(len(x) // 8)])
+                total[0] += n
+                total[1] += np.frombuffer(x)
+        for centre, (n, x) in totals.items():
+            yield pd.DataFrame({"centre": [centre], "n": [n], "x": [x.tobytes()]})
+
+    schema = "centre int, n double, x binary"
+    tasks = min(len(every), parallelism(features.sparkSession))
+    found = raw_rows(features).mapInPandas(run, schema).repartition(tasks, "centre").mapInPandas(add_up, schema).toPandas()
+    held.unpersist()
+    count, sums, cost = np.zeros(len(every)), np.zeros((len(every), width)), np.zeros(len(fits))
+    for centre, n, x in zip(found["centre"], found["n"], found["x"]):
+        if centre < 0:
+            cost[centre + len(fits)] = n
+        else:
+            count[centre], sums[centre] = n, np.frombuffer(x)
+    return [(count[a:b], sums[a:b], float(c)) for a, b, c in zip(bounds[:-1], bounds[1:], cost)]
+
+
+def _swept(features: DataFrame, fits: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """:func:`_sweep` over as many fits at a time as a task may hold."""
+    out: list = []
+    while len(out) < len(fits):
+        size, stop = 0, len(out)
+        while stop < len(fits) and (stop == len(out) or size + fits[stop].nbytes <= SWEEP_BYTES):
+            size += fits[stop].nbytes
+            stop += 1
+        out += _sweep(features, fits[len(out) : stop])
+    return out
+
+
+def fit_many(
+    features: DataFrame, starts: Sequence[np.ndarray], max_iter: int = 100, tol: float = 1e-4
+) -> list[tuple[np.ndarray, float]]:
+    """Centres and cost of a Lloyd fit from each start; the fits go through the same scans.
+
+    A fit is closed once no centre moves by more than ``tol``. A centre that loses every row
+    stays where it is. ``features`` should be stored.
+    """
+    now = [np.array(s, dtype=float) for s in starts]
+    for s in now:
+        _check_centres(*s.shape)
+    opened = list(range(len(now)))
+    for _ in range(max_iter):
+        if not opened:
+            break
+        moved = []
+        for f, (n, sums, _) in zip(opened, _swept(features, [now[f] for f in opened])):
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], now[f])
+            if ((new - now[f]) ** 2).sum(axis=1).max() > tol**2:
+                moved.append(f)
+            now[f] = new
+        opened = moved
+    return [(c, cost) for c, (_, _, cost) in zip(now, _swept(features, now))]
+
+
+# --- starts ---------------------------------------------------------------------------------
+
+
+def _unit(key: pd.Series) -> np.ndarray:
+    """Hash keys as numbers between 0 and 1, both excluded."""
+    return (np.array([int(k[:13], 16) for k in key], dtype=float) + 0.5) / 16.0**13
+
+
+def _drawn(features: DataFrame, held: dict[int, np.ndarray], size: int, turn: int, width: int) -> dict[int, np.ndarray]:
+    """For each seed ``size`` rows, drawn without replacement in proportion to their cost.
+
+    The rows of least ``-ln(u) / cost``, u a hash of id, round and seed: one scan for all seeds,
+    and the same rows whatever the partitioning.
+    """
+    seeds = sorted(held)
+    keys = [hash_key(F.concat_ws(":", "id", F.lit(str(turn))), s).alias(f"u{s}") for s in seeds]
+    sent = features.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches):
+        best: dict[int, list] = {s: [] for s in seeds}  # heaps of (-key, -id, row)
+        squares = {s: (c**2).sum(axis=1) for s, c in sent.value.items()}
+        for frame in batches:
+            for a in range(0, len(frame), ROW_BATCH):
+                part = frame.iloc[a : a + ROW_BATCH]
+                used, block = dense_batch(part)
+                own, ids = (block**2).sum(axis=1), part["id"].to_numpy()
+                for s in seeds:
+                    cost = own + _nearest(block, used, sent.value[s], squares[s]).min(axis=1)
+                    cost = np.where(cost > 1e-12 * np.maximum(own, 1e-300), cost, 0)
+                    with np.errstate(divide="ignore"):
+                        key = -np.log(_unit(part[f"u{s}"])) / cost
+                    for i in np.flatnonzero(np.isfinite(key)):
+                        item = (-key[i], -int(ids[i]))
+                        if len(best[s]) < size or item > best[s][0][:2]:
+                            x = np.zeros(width)
+                            x[used] = block[i]
+                            (heapq.heappushpop if len(best[s]) >= size else heapq.heappush)(best[s], (*item, x.tobytes()))
+        rows = [(s, -k, -i, x) for s in seeds for k, i, x in best[s]]
+        yield pd.DataFrame(rows, columns=["seed", "key", "id", "x"])
+
+    def least(batches):
+        best: dict[int, list] = {}
+        for frame in batches:
+            for s, key, i, x in zip(frame["seed"], frame["key"], frame["id"], frame["x"]):
+                heap = best.setdefault(s, [])
+                (heapq.heappushpop if len(heap) >= size else heapq.heappush)(heap, (-key, -i, x))
+        rows = [(s, -k, -i, x) for s, heap in best.items() for k, i, x in heap]
+        yield pd.DataFrame(rows, columns=["seed", "key", "id", "x"])
+
+    schema = "seed int, key double, id long, x binary"
+    found = (
+        raw_rows(features, "id", *keys).mapInPandas(run, schema)
+        .repartition(len(seeds), "seed").mapInPandas(least, schema).toPandas().sort_values(["seed", "id"])
+    )
+    sent.unpersist()
+    return {s: np.frombuffer(b"".join(own["x"])).reshape(-1, width) for s, own in found.groupby("seed")}
+
+
+def _plus_plus(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Weighted k-means++ over the candidates, then a few weighted Lloyd steps."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.choice(len(points), p=weights / weights.sum()))]
+    gap = ((points - points[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        mass = gap * weights
+        if mass.sum() <= 0:
+            break
+        chosen.append(int(rng.choice(len(points), p=mass / mass.sum())))
+        gap = np.minimum(gap, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    centers = points[chosen].copy()
+    for _ in range(10):
+        at = ((centers**2).sum(axis=1)[None, :] - 2 * points @ centers.T).argmin(axis=1)
+        mass = np.bincount(at, weights, len(centers))
+        sums = np.zeros_like(centers)
+        np.add.at(sums, at, points * weights[:, None])
+        centers = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-300)[:, None], centers)
+    return centers
+
+
+def choose_starts(features: DataFrame, wanted: Sequence[tuple[int, int]]) -> list[np.ndarray]:
+    """Starting centres for each ``(k, seed)``; pairs of one seed share their candidates.
+
+    Candidates are drawn in ``START_ROUNDS`` scans, twice the largest k of the seed in each, and
+    weighted by the rows nearest to them. Fewer than k centres come back if there are fewer
+    distinct rows.
+    """
+    width = _width(features)
+    most: dict[int, int] = {}
+    for k, seed in wanted:
+        _check_centres(1 + 2 * START_ROUNDS * k, width)  # its candidates
+        most[seed] = max(k, most.get(seed, 0))
+    seeds = sorted(most)
+    first = features.agg(*[
+        F.min_by(vector_to_array("features"), F.struct(hash_key("id", s), "id")).alias(f"s{s}") for s in seeds
+    ]).first()
+    held = {s: np.array([x], dtype=float) for s, x in zip(seeds, first)}
+    for turn in range(START_ROUNDS):
+        new = _drawn(features, held, 2 * max(most.values()), turn, width)
+        held = {s: np.concatenate([c, new[s]]) if s in new else c for s, c in held.items()}
+    weights = {s: n for s, (n, _, _) in zip(seeds, _swept(features, [held[s] for s in seeds]))}
+    return [_plus_plus(held[s], weights[s], k, s) for k, s in wanted]
+
+
+# --- fits -----------------------------------------------------------------------------------
+
+
 def kmeans(
     features: DataFrame, n_clusters: int, max_iter: int = 100, seed: int = 0, tol: float = 1e-4,
     n_init: int = 1,
 ) -> KMeansFit:
     """Seeded KMeans of ``(id, features)`` with k-means|| starting centres, the best of ``n_init``."""
-    if n_init > 1:
-        return _best_start(lambda s: kmeans(features, n_clusters, max_iter, s, tol), seed, n_init)
-    _check_centres(n_clusters, _width(features))
-    if n_clusters == 1:  # the centre is the mean; MLlib starts at two
-        mean = features.agg(Summarizer.mean(F.col("features"))).first()[0].toArray()
-        return lloyd(features, mean[None, :], 0)
-    fitted = KMeans(
-        k=n_clusters, maxIter=max_iter, seed=seed, tol=tol, featuresCol="features",
-        predictionCol="cluster", initMode="k-means||",
-    ).fit(features)
-    assigned = fitted.transform(features).select("id", "cluster")
-    return KMeansFit(assigned, np.array(fitted.clusterCenters()), fitted.summary.trainingCost)
+    if n_init < 1:
+        raise ValueError("n_init must be at least 1")
+    with scratch():
+        stored = keep(features.select("id", "features"))
+        starts = choose_starts(stored, [(n_clusters, seed + 7919 * i) for i in range(n_init)])
+        centers, cost = min(fit_many(stored, starts, max_iter, tol), key=lambda f: f[1])
+    return KMeansFit(assign(features, centers).select("id", "cluster"), centers, cost)
 
 
 def assign(features: DataFrame, centers: np.ndarray) -> DataFrame:
     """``(id, features, cluster, sq_dist)``: nearest given centre, ties to the lower number."""
     fixed = np.asarray(centers, dtype=float)
     _check_centres(*fixed.shape)
+    square = (fixed**2).sum(axis=1)
 
     @F.pandas_udf("cluster int, sq_dist double")
-    def nearest(column: pd.Series) -> pd.DataFrame:
-        if len(column) == 0:
-            return pd.DataFrame({"cluster": [], "sq_dist": []})
-        x = np.vstack(column.to_numpy())
-        gap = (x**2).sum(1)[:, None] - 2 * x @ fixed.T + (fixed**2).sum(1)[None, :]
-        at = gap.argmin(axis=1)
-        return pd.DataFrame({"cluster": at, "sq_dist": ((x - fixed[at]) ** 2).sum(1)})
-
-    near = nearest(vector_to_array(F.col("features")))
+    def nearest(v: pd.DataFrame) -> pd.DataFrame:
+        at, gap = np.zeros(len(v), dtype=int), np.zeros(len(v))
+        for a in range(0, len(v), ROW_BATCH):
+            used, block = dense_batch(v.iloc[a : a + ROW_BATCH])
+            near = _nearest(block, used, fixed, square).argmin(axis=1)
+            rest = square - (fixed[:, used] ** 2).sum(axis=1)  # of columns that are zero in all these rows
+            at[a : a + ROW_BATCH] = near
+            gap[a : a + ROW_BATCH] = ((block - fixed[near][:, used]) ** 2).sum(axis=1) + np.maximum(rest[near], 0)
+        return pd.DataFrame({"cluster": at, "sq_dist": gap})
+
+    v = F.unwrap_udt(F.col("features"))
+    near = nearest(F.struct(v["indices"].alias("indices"), v["values"].alias("values")))
     return features.select("id", "features", near.alias("_n")).select(
         "id", "features", "_n.cluster", "_n.sq_dist"
     )
 
 
-def centre_means(assigned: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
-    """Rows and mean vector of each cluster: k rows, whatever the table."""
-    rows = (
-        assigned.groupBy("cluster")
-        .agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("features")).alias("mean"))
-        .collect()
-    )
-    return {r["cluster"]: (r["n"], r["mean"].toArray()) for r in rows}
-
-
 def lloyd(features: DataFrame, centers: np.ndarray, iterations: int) -> KMeansFit:
     """Lloyd steps from given centres; a centre that loses every row stays where it is."""
-    now = np.array(centers, dtype=float)
-    for _ in range(iterations):
-        for c, (_n, mean) in centre_means(assign(features, now)).items():
-            now[c] = mean
-    final = assign(features, now)
-    cost = final.agg(F.sum("sq_dist")).first()[0]
-    return KMeansFit(final.select("id", "cluster"), now, float(cost))
+    [(now, cost)] = fit_many(features, [np.asarray(centers)], iterations, tol=0.0)
+    return KMeansFit(assign(features, now).select("id", "cluster"), now, cost)
 
 
 def wcss(assigned: DataFrame) -> DataFrame:
@@ -125,6 +320,9 @@ def wcss(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.sum("sq_dist").alias("wcss"))
 
 
+# --- mini-batches ---------------------------------------------------------------------------
+
+
 def minibatch_kmeans(
     features: DataFrame,
     n_clusters: int,
@@ -134,43 +332,53 @@ def minibatch_kmeans(
     max_no_improvement: int | None = 10,
     seed: int = 0,
     n_init: int = 1,
+    start: np.ndarray | None = None,
 ) -> KMeansFit:
     """KMeans on small seeded batches (Sculley 2010): each centre moves by 1/(rows seen so far).
 
     Goes over the whole table ``max_iter`` times, each time in a new order, unless the smoothed
-    batch cost has not improved for ``max_no_improvement`` steps before. The batches of the next
-    ``STEPS_PER_DRAW`` steps are drawn in one scan and stored, so a step reads ``batch_size`` rows
-    and not the table. Every row is then assigned in one pass. The best of ``n_init`` starts.
+    batch cost has not improved for ``max_no_improvement`` steps before. A pass is written once in
+    the order of its steps (into the checkpoint folder), so a step reads its own files and not the
+    table. Every row is then assigned in one pass. The best of ``n_init`` starts, or one from the centres in ``start``.
     """
-    if n_init > 1:
+    if n_init > 1 and start is None:
         return _best_start(
             lambda s: minibatch_kmeans(
                 features, n_clusters, batch_size, init_size, max_iter, max_no_improvement, s
             ), seed, n_init)
-    _check_centres(n_clusters, _width(features))
+    width = _width(features)
+    _check_centres(n_clusters, width)
     n = features.count()
-    start = hash_sample(features, min(n, max(init_size, 3 * n_clusters)), seed, n_rows=n)
-    centers = KMeans(k=n_clusters, maxIter=0, seed=seed).fit(cut(start)).clusterCenters()
-    centers = np.array(centers)
+    if start is None:
+        sample = cut(hash_sample(features, min(n, max(init_size, 3 * n_clusters)), seed, n_rows=n))
+        [centers] = choose_starts(sample, [(n_clusters, seed)])
+    else:
+        centers = np.array(start, dtype=float)
     batch = min(batch_size, n)
     per_pass = max(1, n // batch)
-    steps = max_iter * per_pass
+    per_job = max(1, min(STEPS_PER_JOB, JOB_BYTES // (batch * width * 8)))
+    wide = batch * width * 8 > JOB_BYTES
     seen = np.zeros(len(centers))
     smooth, best, stale = None, None, 0
     weight = min(1.0, 2.0 * batch / (n + 1))
-    for step in range(0, steps, STEPS_PER_JOB):
-        if step % STEPS_PER_DRAW == 0:
-            pool = _batches(features, per_pass, step, min(steps, step + STEPS_PER_DRAW), seed)
-        part = pool.filter((F.col("step") >= step) & (F.col("step") < step + STEPS_PER_JOB))
-        for done in _advance(part, centers, seen):
-            centers, seen = done["centers"], done["seen"]
-            smooth = done["cost"] if smooth is None else smooth * (1 - weight) + done["cost"] * weight
-            if best is None or smooth < best:
-                best, stale = smooth, 0
+    for turn in range(max_iter):
+        layout = _write_pass(features, per_pass, per_job, turn, seed)
+        for job in range(-(-per_pass // per_job)):
+            part = _read_job(features, layout, job)
+            if part is None:
+                continue
+            for done in (_advance_wide if wide else _advance)(part, centers, seen):
+                centers, seen = done["centers"], done["seen"]
+                smooth = done["cost"] if smooth is None else smooth * (1 - weight) + done["cost"] * weight
+                if best is None or smooth < best:
+                    best, stale = smooth, 0
+                else:
+                    stale += 1
+                if max_no_improvement is not None and stale >= max_no_improvement:
+                    break
             else:
-                stale += 1
-            if max_no_improvement is not None and stale >= max_no_improvement:
-                break
+                continue
+            break
         else:
             continue
         break
@@ -179,26 +387,44 @@ def minibatch_kmeans(
     return KMeansFit(final.select("id", "cluster"), centers, cost)
 
 
-def _batches(features: DataFrame, per_pass: int, first: int, stop: int, seed: int) -> DataFrame:
-    """``(id, features, step)``: the rows of steps ``first`` to ``stop``, drawn in one scan.
+def step_of(per_pass: int, turn: int, seed: int, id_col: str = "id"):
+    """The step of pass ``turn`` that a row goes to: by its id, the pass and the seed alone."""
+    digits = F.substring(hash_key(F.concat_ws(":", id_col, F.lit(str(turn))), seed + 1), 1, 12)
+    return (F.conv(digits, 16, 10).cast("long") % F.lit(per_pass)).cast("int")
 
-    Every pass deals the whole table into ``per_pass`` steps. A batch holds its share on average;
-    which step a row goes to depends on its id, the pass and the seed alone.
-    """
-    passes = F.sequence(F.lit(first // per_pass), F.lit((stop - 1) // per_pass))
-    copies = features.select("id", "features", F.explode(passes).alias("pass"))
-    digits = F.substring(hash_key(F.concat_ws(":", "id", "pass"), seed + 1), 1, 12)
-    place = F.conv(digits, 16, 10).cast("long") % F.lit(per_pass)
-    step = (F.col("pass") * per_pass + place).cast("int")
-    dealt = copies.select("id", "features", step.alias("step"))
-    return cut(dealt.filter((F.col("step") >= first) & (F.col("step") < stop)))
+
+def _write_pass(features: DataFrame, per_pass: int, per_job: int, turn: int, seed: int) -> str:
+    """All rows in the order of their steps, a folder for each job; returns where."""
+    folder = f"{ensure_checkpoint_dir(features.sparkSession)}/pass-{uuid.uuid4().hex}"
+    step = step_of(per_pass, turn, seed)
+    dealt = features.select("id", "features", step.alias("step")).withColumn("job", F.floor(F.col("step") / per_job).cast("int"))
+    dealt.repartition("job").sortWithinPartitions("job", "step", "id").write.partitionBy("job").parquet(folder)
+    return folder
+
+
+def _read_job(features: DataFrame, folder: str, job: int) -> DataFrame | None:
+    """``(id, features, step)`` of one job, from its own files; nothing lists or opens the others."""
+    schema = features.select("id", "features", F.lit(0).alias("step")).schema
+    try:
+        return features.sparkSession.read.schema(schema).parquet(f"{folder}/job={job}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # no row was dealt to these steps
+
+
+def _moved(now: np.ndarray, total: np.ndarray, n: np.ndarray, sums: np.ndarray) -> None:
+    """Each centre moves to the mean of all rows it has seen, these included."""
+    total += n
+    live = n > 0
+    now[live] += (sums[live] - n[live, None] * now[live]) / total[live, None]
 
 
 def _advance(part: DataFrame, centers: np.ndarray, seen: np.ndarray) -> list[dict]:
     """Centres after each of a few consecutive batches.
 
-    Batches follow one another, so one task takes them in turn: ``STEPS_PER_JOB`` batches of
-    ``batch_size`` rows, however large the table is.
+    Batches follow one another, so one task takes them in turn: at most ``JOB_BYTES`` of rows,
+    however large the table is.
     """
     start, counts = centers.copy(), seen.copy()
 
@@ -209,19 +435,19 @@ def _advance(part: DataFrame, centers: np.ndarray, seen: np.ndarray) -> list[dic
         frame = pd.concat(frames)
         now, total, rows = start.copy(), counts.copy(), []
         for step, batch in frame.groupby("step", sort=True):
-            x = np.vstack(batch.sort_values("id")["x"].to_numpy())
+            used, block = dense_batch(batch.sort_values("id"))
+            x = np.zeros((len(block), now.shape[1]))
+            x[:, used] = block
             gap = (x**2).sum(1)[:, None] - 2 * x @ now.T + (now**2).sum(1)[None, :]
             at = gap.argmin(axis=1)
             cost = float(((x - now[at]) ** 2).sum(1).mean())
-            for c in np.unique(at):
-                mine = x[at == c]
-                total[c] += len(mine)
-                now[c] += (mine.sum(axis=0) - len(mine) * now[c]) / total[c]
+            sums = np.zeros_like(now)
+            np.add.at(sums, at, x)
+            _moved(now, total, np.bincount(at, minlength=len(now)), sums)
             rows.append((int(step), cost, now.tobytes(), total.tobytes()))
         yield pd.DataFrame(rows, columns=["step", "cost", "centers", "seen"])
 
-    arrays = part.select("id", "step", vector_to_array(F.col("features")).alias("x"))
-    out = arrays.coalesce(1).mapInPandas(
+    out = raw_rows(part, "id", "step").coalesce(1).mapInPandas(
         walk, "step int, cost double, centers binary, seen binary"
     )
     return [
@@ -231,6 +457,18 @@ def _advance(part: DataFrame, centers: np.ndarray, seen: np.ndarray) -> list[dic
     ]
 
 
+def _advance_wide(part: DataFrame, centers: np.ndarray, seen: np.ndarray) -> list[dict]:
+    """The same for a batch that no task should hold: its sums are added up by many."""
+    now, total = centers.copy(), seen.copy()
+    [(n, sums, cost)] = _sweep(part, [now])
+    rows = max(n.sum(), 1)
+    _moved(now, total, n, sums)
+    return [{"cost": cost / rows, "centers": now, "seen": total}]
+
+
+# --- many fits ------------------------------------------------------------------------------
+
+
 def in_parallel(jobs: Sequence[Callable], threads: int = 4) -> list:
     """Run independent Spark actions from a few driver threads, results in order."""
     if len(jobs) == 1 or threads <= 1:
@@ -245,30 +483,31 @@ def seed_sweep(
     features: DataFrame, n_clusters: int, seeds: Iterable[int] = range(5), max_iter: int = 100
 ) -> DataFrame:
     """``(seed, cluster, size)`` for one fit per seed: how much the start decides."""
-    stored = cut(features)
-    fits = in_parallel(
-        [lambda s=s: (s, kmeans(stored, n_clusters, max_iter, s)) for s in seeds]
-    )
+    stored, seeds = cut(features), list(seeds)
+    fits = fit_many(stored, choose_starts(stored, [(n_clusters, s) for s in seeds]), max_iter)
     parts = [
-        cluster_sizes(fit.assignments).select(F.lit(s).alias("seed"), "cluster", "size")
-        for s, fit in fits
+        cluster_sizes(assign(stored, centers)).select(F.lit(s).alias("seed"), "cluster", "size")
+        for s, (centers, _) in zip(seeds, fits)
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def elbow(
-    features: DataFrame, ks: Iterable[int] = range(1, 510, 10), seed: int = 0, threads: int = 4,
-    max_iter: int = 100,
+    features: DataFrame, ks: Iterable[int] = range(1, 510, 10), seed: int = 0, max_iter: int = 100,
+    starts: Sequence[np.ndarray] | None = None,
 ) -> DataFrame:
-    """``(k, wcss)`` for a range of cluster counts, to choose k by eye; needs k <= rows."""
+    """``(k, wcss)`` for a range of cluster counts, to choose k by eye; needs k <= rows.
+
+    All counts are fitted in the same scans, from the centres in ``starts`` if given.
+    """
     stored = cut(features)
     n = stored.count()
     ks = list(ks)
     if max(ks) > n:
         raise ValueError(f"k = {max(ks)} exceeds the {n} rows")
-    costs = in_parallel(
-        [lambda k=k: kmeans(stored, k, max_iter, seed).wcss for k in ks], threads
-    )
+    if starts is None:
+        starts = choose_starts(stored, [(k, seed) for k in ks])
+    costs = [cost for _, cost in fit_many(stored, starts, max_iter)]
     return features.sparkSession.createDataFrame(
         [(int(k), float(c)) for k, c in zip(ks, costs)], "k int, wcss double"
     )

@@ -1,8 +1,11 @@
 """Truncated SVD of a tall row matrix (uncentred) and the variance it keeps.
 
-Randomised subspace iteration (Halko, Martinsson and Tropp 2011). A pass multiplies the rows
-by a D x l sketch inside each task and sums the tasks' D x l products by blocks of columns,
-spread over tasks. The driver holds the sketch alone, checked against ``MAX_SKETCH_BYTES``.
+Randomised subspace iteration (Halko, Martinsson and Tropp 2011). A sketch of at most
+``SKETCH_BYTES`` is sent to all tasks; a pass multiplies the rows by it inside each task and sums
+the tasks' products by blocks of columns. A wider one is a table of column blocks: rows are cut
+into tiles, a tile meets its block by a shuffle, and the products meet again by row group. Either
+way columns are orthonormalised through their l x l Gram matrix, so the driver never sees more
+than l x l numbers of a wide sketch and there is no limit on the vocabulary.
 """
 
 from __future__ import annotations
@@ -12,21 +15,26 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatherum.functions.vectors import dense_entries, l2_normalise_array, sparse_entries
-from gatherum.session import parallelism
+from gatherum.session import cut, parallelism
 
-MAX_SKETCH_BYTES = 1 << 29  # below the default limit on results sent to the driver
+SKETCH_BYTES = 1 << 26  # of a sketch that is sent to every task
 COLUMN_BLOCK = 1024  # columns per summed block
 ROW_BATCH = 512  # rows multiplied at once inside a task
+BLOCK_BYTES = 1 << 24  # of one block of a wide sketch
+TILE_ROWS = 2048  # rows of a row group
+SLICE_BYTES = 1 << 25  # of the tiles that one task multiplies by a block
 
 
-def _dense_batch(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def dense_batch(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The columns a batch of rows touches, and the rows dense over just those columns."""
     values = [np.asarray(v, dtype=float) for v in frame["values"]]
-    lengths = np.array([len(v) for v in values])
+    if values and all(i is None for i in frame["indices"]) and len({len(v) for v in values}) == 1:
+        return np.arange(len(values[0])), np.vstack(values)
+    lengths = np.array([len(v) for v in values], dtype=np.int64)
     index = [np.arange(m) if i is None else np.asarray(i, dtype=np.int64)
              for i, m in zip(frame["indices"], lengths)]
     flat = np.concatenate(index).astype(np.int64) if len(index) else np.zeros(0, dtype=np.int64)
@@ -37,12 +45,18 @@ def _dense_batch(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return used, block
 
 
-def _raw(features: DataFrame, *keep: str) -> DataFrame:
+def raw_rows(features: DataFrame, *keep: str | Column) -> DataFrame:
+    """``(keep..., indices, values)``; no indices for a dense row."""
     return features.select(*keep, F.unwrap_udt(F.col("features")).alias("v")).select(
-        *keep, "v.indices", "v.values"
+        *[F.col(c) for c in features.select(*keep).columns], "v.indices", "v.values"
     )
 
 
+def _projected(features: DataFrame, rows: DataFrame, normalise: bool) -> DataFrame:
+    x = l2_normalise_array(F.col("x")) if normalise else F.col("x")
+    return rows.select("id", array_to_vector(x).alias("features"))
+
+
 @dataclass
 class SvdModel:
     components: np.ndarray  # D x k, columns are the right singular vectors
@@ -59,23 +73,43 @@ class SvdModel:
             for frame in batches:
                 for a in range(0, len(frame), ROW_BATCH):
                     part = frame.iloc[a : a + ROW_BATCH]
-                    used, block = _dense_batch(part)
+                    used, block = dense_batch(part)
                     yield pd.DataFrame(
                         {"id": part["id"].to_numpy(), "x": list(block @ axes[used])}
                     )
 
-        rows = _raw(features, "id").mapInPandas(run, "id long, x array<double>")
-        x = l2_normalise_array(F.col("x")) if normalise else F.col("x")
-        return rows.select("id", array_to_vector(x).alias("features"))
+        return _projected(features, raw_rows(features, "id").mapInPandas(run, "id long, x array<double>"), normalise)
+
+
+@dataclass
+class WideSvdModel:
+    """The same with the components as a table ``(block, x)``: rows of ``columns`` dimensions in each block."""
+
+    components: DataFrame
+    columns: int
+    singular_values: np.ndarray
+    explained_variance_ratio: float
+    n_rows: int
+
+    def project(self, features: DataFrame, normalise: bool = True) -> DataFrame:
+        k = len(self.singular_values)
+        tiles, slices = _tiles(features, self.columns)
+        products = _times(tiles, self.components, slices, k, self.columns)
+
+        def rows(batches):
+            for frame in batches:
+                for ids, x in zip(frame["ids"], frame["x"]):
+                    yield pd.DataFrame({"id": np.frombuffer(ids, np.int64), "x": list(np.frombuffer(x).reshape(-1, k))})
+
+        return _projected(features, products.mapInPandas(rows, "id long, x array<double>"), normalise)
 
 
 def fit_svd(
     features: DataFrame, n_components: int = 100, n_passes: int = 5, oversample: int = 10,
-    seed: int = 0,
-) -> SvdModel:
+    seed: int = 0, sketch_bytes: int = SKETCH_BYTES,
+) -> SvdModel | WideSvdModel:
     """The leading ``n_components`` right singular vectors. ``features`` should be stored: it is
     read ``n_passes + 2`` times."""
-    spark = features.sparkSession
     shape = features.select(F.unwrap_udt(F.col("features")).alias("v")).agg(
         F.count(F.lit(1)), F.max(F.coalesce(F.col("v.size"), F.size("v.values")))
     ).first()
@@ -85,11 +119,27 @@ def fit_svd(
             f"n_components = {n_components} must be from 1 to min(rows, columns) = {min(n, width)}"
         )
     size = min(n_components + oversample, n, width)
-    if width * (size + 1) * 8 > MAX_SKETCH_BYTES:
-        raise ValueError(
-            f"a {width} x {size} sketch exceeds {MAX_SKETCH_BYTES} bytes: raise min_df or lower n_components"
-        )
-    raw = _raw(features)
+    wide = width * (size + 1) * 8 > sketch_bytes
+    return (_fit_wide if wide else _fit_narrow)(features, n, width, size, n_components, n_passes, seed)
+
+
+def _leading(gram: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` greatest eigenvalues, falling and none negative, and their eigenvectors."""
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    order = np.argsort(values)[::-1][:k]
+    return np.maximum(values[order], 0.0), vectors[:, order]
+
+
+def _share(values: np.ndarray, means: np.ndarray, square: float, mean_square: float, n: int) -> float:
+    """Share of the variance that axes keep, from the means along them and the whole's squares."""
+    kept = values.sum() / n - float((means**2).sum())
+    whole = square / n - mean_square
+    return kept / whole if whole > 0 else 0.0
+
+
+def _fit_narrow(features: DataFrame, n: int, width: int, size: int, k: int, n_passes: int, seed: int) -> SvdModel:
+    spark = features.sparkSession
+    raw = raw_rows(features)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, size)))[0]
     mean = None
     for i in range(n_passes + 1):
@@ -103,7 +153,7 @@ def fit_svd(
         total, square = np.zeros((size, size)), 0.0
         for frame in batches:
             for a in range(0, len(frame), ROW_BATCH):
-                used, block = _dense_batch(frame.iloc[a : a + ROW_BATCH])
+                used, block = dense_batch(frame.iloc[a : a + ROW_BATCH])
                 z = block @ held.value[used]
                 total += z.T @ z
                 square += float((block**2).sum())
@@ -119,15 +169,11 @@ def fit_svd(
     dense = np.zeros((size + 1, size))
     dense[sums["at"], sums["j"]] = sums["v"]
     gram, square = dense[:size], dense[size, 0]
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    order = np.argsort(values)[::-1][:n_components]
-    values = np.maximum(values[order], 0.0)
-    axes = basis @ vectors[:, order]
+    values, vectors = _leading(gram, k)
+    axes = basis @ vectors
     # a fixed sign: the largest entry of each axis is positive
     axes *= np.where(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])] < 0, -1.0, 1.0)
-    kept = values.sum() / n - float(((mean @ axes) ** 2).sum())
-    whole = square / n - float((mean**2).sum())
-    return SvdModel(axes, np.sqrt(values), kept / whole if whole > 0 else 0.0, n)
+    return SvdModel(axes, np.sqrt(values), _share(values, mean @ axes, square, float((mean**2).sum()), n), n)
 
 
 def _gram_times(raw: DataFrame, basis: np.ndarray, with_sums: bool):
@@ -143,7 +189,7 @@ def _gram_times(raw: DataFrame, basis: np.ndarray, with_sums: bool):
         touched = np.zeros(n_blocks, dtype=bool)
         for frame in batches:
             for a in range(0, len(frame), ROW_BATCH):
-                used, block = _dense_batch(frame.iloc[a : a + ROW_BATCH])
+                used, block = dense_batch(frame.iloc[a : a + ROW_BATCH])
                 total[used, :size] += block.T @ (block @ held.value[used])
                 if with_sums:
                     total[used, size] += block.sum(axis=0)
@@ -152,19 +198,9 @@ def _gram_times(raw: DataFrame, basis: np.ndarray, with_sums: bool):
             part = total[b * COLUMN_BLOCK : (b + 1) * COLUMN_BLOCK]
             yield pd.DataFrame({"block": [int(b)], "x": [part.tobytes()]})
 
-    def add_up(batches):
-        sums: dict[int, np.ndarray] = {}
-        for frame in batches:
-            for b, x in zip(frame["block"], frame["x"]):
-                part = np.frombuffer(x).reshape(COLUMN_BLOCK, cols)
-                sums[b] = sums[b] + part if b in sums else part
-        for b, part in sums.items():
-            yield pd.DataFrame({"block": [b], "x": [part.tobytes()]})
-
-    schema = "block int, x binary"
     tasks = min(n_blocks, parallelism(spark))
     summed = (
-        raw.mapInPandas(multiply, schema).repartition(tasks, "block").mapInPandas(add_up, schema)
+        raw.mapInPandas(multiply, _BLOCK).repartition(tasks, "block").mapInPandas(_add_blocks, _BLOCK)
     )
     out = np.zeros((n_blocks * COLUMN_BLOCK, cols))
     found = summed.toPandas()  # D x l in all: the checked sketch
@@ -174,6 +210,210 @@ def _gram_times(raw: DataFrame, basis: np.ndarray, with_sums: bool):
     return out[:width, :size], (out[:width, size] if with_sums else None)
 
 
+_BLOCK = "block int, x binary"
+
+
+def _add_blocks(batches):
+    """Blocks of one number added up; all of a number are in one partition."""
+    sums: dict[int, np.ndarray] = {}
+    for frame in batches:
+        for b, x in zip(frame["block"], frame["x"]):
+            part = np.frombuffer(x)
+            sums[b] = sums[b] + part if b in sums else part
+    for b, part in sums.items():
+        yield pd.DataFrame({"block": [b], "x": [part.tobytes()]})
+
+
+# --- sketches too wide to send ---------------------------------------------------------------
+
+
+def _tiles(features: DataFrame, columns: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as tiles, and how many slices each block's tiles are dealt into.
+
+    A tile ``(rows, block, slice, ids, at, column, value)`` holds the entries of one row group in
+    one block of ``columns`` columns; ``ids`` lists the group's rows and comes with every tile.
+    """
+    spark = features.sparkSession
+
+    def cut_tiles(batches):
+        for frame in batches:
+            frame = frame.sort_values("group", kind="stable")
+            for group, own in frame.groupby("group", sort=False):
+                lengths = np.array([len(v) for v in own["values"]], dtype=np.int64)
+                index = [np.arange(m) if i is None else np.asarray(i, np.int64) for i, m in zip(own["indices"], lengths)]
+                column = np.concatenate(index).astype(np.int64)
+                value = np.concatenate([np.asarray(v, float) for v in own["values"]])
+                at = np.repeat(np.arange(len(own)), lengths)
+                ids = own["id"].to_numpy(np.int64).tobytes()
+                block = column // columns
+                # a row group without entries still has its rows
+                for b in np.unique(block) if len(block) else [0]:
+                    mine = block == b
+                    yield pd.DataFrame({
+                        "rows": [int(group)], "block": [int(b)], "ids": [ids], "at": [at[mine].astype(np.int32).tobytes()],
+                        "column": [(column[mine] - b * columns).astype(np.int32).tobytes()], "value": [value[mine].tobytes()],
+                    })
+
+    # a row group is what one batch holds of a partition: rows never leave their task to be grouped
+    grouped = raw_rows(features, "id").withColumn("place", F.monotonically_increasing_id())
+    grouped = grouped.withColumn("group", F.floor(F.col("place") / TILE_ROWS)).select("group", "id", "indices", "values")
+    tiles = grouped.mapInPandas(cut_tiles, "rows long, block int, ids binary, at binary, column binary, value binary")
+    # batches may cut a group in two: such halves stay apart under a number of their own
+    tiles = cut(tiles.withColumn("rows", F.xxhash64("rows", "ids")))
+    slices = tiles.groupBy("block").agg(
+        F.ceil(F.sum(F.length("value") * 2 + F.length("ids")) / SLICE_BYTES).cast("int").alias("slices")
+    )  # one row for each block
+    tiles = tiles.join(F.broadcast(slices), "block").withColumn("slice", F.pmod(F.xxhash64("rows"), F.col("slices")).cast("int"))
+    return tiles.drop("slices"), slices
+
+
+def _entries(tile) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(tile.at, np.int32), np.frombuffer(tile.column, np.int32), np.frombuffer(tile.value)
+
+
+def _row_products(at: np.ndarray, weighted: np.ndarray, rows: int) -> np.ndarray:
+    """``weighted`` rows added up by ``at``, which rises."""
+    out = np.zeros((rows, weighted.shape[1]))
+    if len(at):
+        found, first = np.unique(at, return_index=True)
+        out[found] = np.add.reduceat(weighted, first, axis=0)
+    return out
+
+
+def _times(tiles: DataFrame, sketch: DataFrame, slices: DataFrame, size: int, columns: int) -> DataFrame:
+    """``(rows, ids, x)``: each row group's product with the sketch."""
+
+    def multiply(mine: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        held = np.frombuffer(blocks["x"].iloc[0]).reshape(columns, size) if len(blocks) else np.zeros((columns, size))
+        out = []
+        for tile in mine.itertuples():
+            at, column, value = _entries(tile)
+            order = np.argsort(at, kind="stable")
+            product = _row_products(at[order], held[column[order]] * value[order, None], len(tile.ids) // 8)
+            out.append((tile.rows, tile.ids, product.tobytes()))
+        return pd.DataFrame(out, columns=["rows", "ids", "x"])
+
+    dealt = sketch.join(F.broadcast(slices), "block").select("block", "x", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    parts = tiles.groupBy("block", "slice").cogroup(dealt.groupBy("block", "slice")).applyInPandas(
+        multiply, "rows long, ids binary, x binary"
+    )
+
+    def add_up(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x) for x in frame["x"])
+        return pd.DataFrame({"rows": [key[0]], "ids": [frame["ids"].iloc[0]], "x": [total.tobytes()]})
+
+    return parts.groupBy("rows").applyInPandas(add_up, "rows long, ids binary, x binary")
+
+
+def _back(tiles: DataFrame, products: DataFrame, cols: int, columns: int) -> DataFrame:
+    """``(block, x)``: the transposed tiles times their row groups' products, added up by block."""
+    paired = tiles.join(products.select("rows", "x"), "rows")
+
+    def multiply(key: tuple, mine: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((columns, cols))
+        for tile in mine.itertuples():
+            at, column, value = _entries(tile)
+            rows = np.frombuffer(tile.x).reshape(-1, cols)
+            order = np.argsort(column, kind="stable")
+            total += _row_products(column[order], rows[at[order]] * value[order, None], columns)
+        return pd.DataFrame({"block": [key[0]], "x": [total.tobytes()]})
+
+    parts = paired.groupBy("block", "slice").applyInPandas(multiply, _BLOCK)
+    return parts.repartition("block").mapInPandas(_add_blocks, _BLOCK)
+
+
+def _summed_gram(table: DataFrame, cols: int) -> np.ndarray:
+    """Sum of ``x' x`` over a table's blocks of ``cols`` columns: ``cols`` short rows per task."""
+
+    def grams(batches):
+        total = np.zeros((cols, cols))
+        for frame in batches:
+            for x in frame["x"]:
+                part = np.frombuffer(x).reshape(-1, cols)
+                total += part.T @ part
+        yield pd.DataFrame({"at": np.arange(cols), "x": list(total)})
+
+    sums = (
+        table.select("x").mapInPandas(grams, "at int, x array<double>").select("at", F.posexplode("x").alias("j", "v"))
+        .groupBy("at", "j").agg(F.sum("v").alias("v")).toPandas()
+    )
+    out = np.zeros((cols, cols))
+    out[sums["at"], sums["j"]] = sums["v"]
+    return (out + out.T) / 2
+
+
+def _turned(table: DataFrame, by: np.ndarray) -> DataFrame:
+    """Every block times a small matrix."""
+
+    def run(batches):
+        for frame in batches:
+            yield frame.assign(x=[(np.frombuffer(x).reshape(-1, len(by)) @ by).tobytes() for x in frame["x"]])
+
+    return table.mapInPandas(run, table.schema)
+
+
+def _orthonormal(table: DataFrame, cols: int) -> tuple[DataFrame, int]:
+    """Blocks with orthonormal columns of the same span, through the Gram matrix, twice; and how many columns."""
+    for _ in range(2):
+        values, vectors = np.linalg.eigh(_summed_gram(table, cols))
+        live = values > max(values.max(initial=0.0), 1e-300) * 1e-13
+        table, cols = cut(_turned(table, vectors[:, live] / np.sqrt(values[live]))), int(live.sum())
+    return table, cols
+
+
+def _start(spark: SparkSession, width: int, size: int, columns: int, seed: int) -> DataFrame:
+    """Blocks of random numbers, each from the seed and its own number; zero beyond the last column."""
+
+    def run(batches):
+        for frame in batches:
+            for b in frame["id"]:
+                x = np.random.default_rng([seed, int(b)]).standard_normal((columns, size))
+                x[max(0, width - int(b) * columns) :] = 0
+                yield pd.DataFrame({"block": [int(b)], "x": [x.tobytes()]})
+
+    blocks = -(-width // columns)
+    return spark.range(blocks, numPartitions=min(blocks, 4 * parallelism(spark))).mapInPandas(run, _BLOCK)
+
+
+def _fit_wide(features: DataFrame, n: int, width: int, size: int, k: int, n_passes: int, seed: int) -> WideSvdModel:
+    spark = features.sparkSession
+    columns = max(1, min(width, BLOCK_BYTES // (8 * size)))
+    tiles, slices = _tiles(features, columns)
+    sketch, cols = _orthonormal(_start(spark, width, size, columns, seed), size)
+    for _ in range(n_passes + 1):
+        products = _times(tiles, sketch, slices, cols, columns)
+        sketch, cols = _orthonormal(cut(_back(tiles, products, cols, columns)), cols)
+    if cols < k:
+        raise ValueError(f"n_components = {k} exceeds the rank {cols} of the rows")
+    products = cut(_times(tiles, sketch, slices, cols, columns))
+    values, vectors = _leading(_summed_gram(products, cols), k)
+    components = cut(_turned(sketch, vectors))
+
+    def sums(batches):
+        total = np.zeros(cols)
+        for frame in batches:
+            for x in frame["x"]:
+                total += np.frombuffer(x).reshape(-1, cols).sum(axis=0)
+        yield pd.DataFrame({"x": [total]})
+
+    along = products.select("x").mapInPandas(sums, "x array<double>").select(F.posexplode("x").alias("j", "v"))
+    along = along.groupBy("j").agg(F.sum("v").alias("v")).toPandas()
+    means = np.zeros(cols)
+    means[along["j"]] = along["v"] / n
+    squares = (
+        sparse_entries(features) if _is_sparse(features) else dense_entries(features)
+    ).groupBy("idx").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q")).agg(
+        F.sum("q"), F.sum((F.col("s") / n) * (F.col("s") / n))
+    ).first()
+    share = _share(values, means @ vectors, squares[0] or 0.0, squares[1] or 0.0, n)
+    return WideSvdModel(components, columns, np.sqrt(values), share, n)
+
+
+def _is_sparse(features: DataFrame) -> bool:
+    first = features.select(F.unwrap_udt(F.col("features"))["indices"].isNotNull()).first()
+    return bool(first and first[0])
+
+
 def total_variance(entries: DataFrame, n_rows: int) -> DataFrame:
     """One row ``(variance)``: the population variances of all columns added up.
 

@@ -275,15 +275,46 @@ def l2_rows(spark, sf):
     return vectors.dense_entries(unit).select("id", "idx", r6("w").alias("w"))
 
 
-@query("""WITH e AS (SELECT generate_subscripts(embedding, 1) AS j, unnest(embedding)::DOUBLE AS w FROM embeddings),
-v AS (SELECT j, var_pop(w) AS v FROM e GROUP BY j)
-SELECT round(sum(v) FILTER (j <= 16) / sum(v), 6) AS explained_variance FROM v""")
+def _axes_sql(turns: int) -> str:
+    """The first right singular vector of the embeddings by the power method, from equal entries."""
+    parts = ["""e AS (SELECT vec_id AS id, generate_subscripts(embedding, 1) AS j, unnest(embedding)::DOUBLE AS w FROM embeddings),
+g AS (SELECT a.j AS i, b.j AS j, sum(a.w * b.w) AS w FROM e a JOIN e b USING (id) GROUP BY ALL),
+v0 AS (SELECT DISTINCT j, 1.0::DOUBLE AS w FROM e)"""]
+    for i in range(turns):  # the square of the matrix each time: 2^turns steps in all
+        parts.append(f"g{i + 1} AS (SELECT a.i, b.j, sum(a.w * b.w) AS w FROM {f'n{i}' if i else 'g'} a JOIN {f'n{i}' if i else 'g'} b ON a.j = b.i GROUP BY ALL)")
+        parts.append(f"n{i + 1} AS (SELECT i, j, w / (SELECT sqrt(sum(w * w)) FROM g{i + 1}) AS w FROM g{i + 1})")
+    parts.append(f"u AS (SELECT i AS j, sum(n.w * v0.w) AS w FROM n{turns} n JOIN v0 ON n.j = v0.j GROUP BY i)")
+    parts.append("axis AS (SELECT j, w / (SELECT sqrt(sum(w * w)) FROM u) AS w FROM u)")
+    parts.append("along AS (SELECT id, sum(e.w * axis.w) AS z FROM e JOIN axis USING (j) GROUP BY id)")
+    return "WITH " + ",\n".join(parts)
+
+
+_AXES = _axes_sql(18)
+
+
+@query(f"""{_AXES}, v AS (SELECT j, var_pop(w) AS v FROM e GROUP BY j)
+SELECT round((SELECT var_pop(z) FROM along) / sum(v), 5) AS explained_variance FROM v""")
 def explained_variance(spark, sf):
-    raw = _table(spark, sf, "embeddings")
-    before = vectors.from_arrays(raw, "vec_id", "embedding")
-    after = vectors.from_arrays(raw.withColumn("x", F.slice("embedding", 1, 16)), "vec_id", "x")
-    return svd.explained_variance(before, after).select(
-        r6("explained_variance").alias("explained_variance"))
+    """Share of the variance of all columns that the first fitted axis keeps."""
+    x = cut(vectors.from_arrays(_table(spark, sf, "embeddings"), "vec_id", "embedding"))
+    first = svd.fit_svd(x, 1, n_passes=1, oversample=63).project(x, normalise=False)
+    return svd.explained_variance(x, first).select(F.round("explained_variance", 5).alias("explained_variance"))
+
+
+@query(f"{_AXES} SELECT id, round(abs(z), 5) AS size FROM along")
+def svd_first_axis(spark, sf):
+    """Each row's coordinate on the first axis, whatever its sign."""
+    x = cut(vectors.from_arrays(_table(spark, sf, "embeddings"), "vec_id", "embedding"))
+    z = svd.fit_svd(x, 1, n_passes=1, oversample=63).project(x, normalise=False)
+    return z.select("id", F.round(F.abs(vectors.vector_to_array("features")[0]), 5).alias("size"))
+
+
+@query(f"{_AXES} SELECT id, round(abs(z), 5) AS size FROM along")
+def svd_wide(spark, sf):
+    """The same by column blocks: what a sketch too wide to send to every task goes through."""
+    x = cut(vectors.from_arrays(_table(spark, sf, "embeddings"), "vec_id", "embedding"))
+    z = svd.fit_svd(x, 1, n_passes=1, oversample=63, sketch_bytes=0).project(x, normalise=False)
+    return z.select("id", F.round(F.abs(vectors.vector_to_array("features")[0]), 5).alias("size"))
 
 
 @query()
@@ -300,7 +331,7 @@ def svd_reduce(spark, sf):
     x = _tfidf(_documents(spark, sf))
     model = svd.fit_svd(x, 100)
     return model.project(x).select(
-        "id", F.round(vectors.vector_to_array("features")[0], 4).alias("first"),
+        "id", F.transform(vectors.vector_to_array("features"), lambda v: F.round(v, 4)).alias("features"),
         F.lit(round(model.explained_variance_ratio, 4)).alias("explained_variance"))
 
 
@@ -321,6 +352,35 @@ c{i + 1} AS (SELECT c, coalesce(m.x, o.x) AS x FROM c{i} o LEFT JOIN m{i} m USIN
     return "WITH " + ",\n".join(parts) + "\n" + select
 
 
+def _minibatch_sql(k: int, per_pass: int, seed: int) -> str:
+    """One pass of mini-batches from the first k rows: every step of it written out."""
+    place = f"('0x' || substr(md5(id || ':0:{seed + 1}'), 1, 12))::BIGINT % {per_pass}"
+    parts = [_POINTS, f"""s AS (SELECT id, x, {place} AS step FROM p),
+e AS (SELECT id, generate_subscripts(x, 1) AS j, unnest(x) AS w FROM p),
+c0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS c, x, 0::DOUBLE AS seen FROM (SELECT * FROM p ORDER BY id LIMIT {k}))"""]
+    for i in range(per_pass + 1):
+        rows = f"(SELECT * FROM s WHERE step = {i})" if i < per_pass else "s"
+        parts.append(f"""a{i} AS (SELECT id, c FROM (SELECT r.id, q.c, row_number() OVER
+  (PARTITION BY r.id ORDER BY list_distance(r.x, q.x), q.c) AS o FROM {rows} r CROSS JOIN c{i} q) WHERE o = 1)""")
+        if i < per_pass:
+            parts.append(f"""m{i} AS (SELECT c, any_value(n) AS n, list(v ORDER BY j) AS x FROM
+  (SELECT c, j, count(*)::DOUBLE AS n, sum(w) AS v FROM a{i} JOIN e USING (id) GROUP BY c, j) GROUP BY c),
+c{i + 1} AS (SELECT o.c, CASE WHEN m.n IS NULL THEN o.x ELSE list_transform(list_zip(o.x, m.x),
+  lambda t: t[1] + (t[2] - m.n * t[1]) / (o.seen + m.n)) END AS x, o.seen + coalesce(m.n, 0) AS seen
+  FROM c{i} o LEFT JOIN m{i} m USING (c))""")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT id, CAST(c AS INTEGER) AS cluster FROM a{per_pass}"
+
+
+@query(_minibatch_sql(5, 5, 3))
+def minibatch_fixed(spark, sf):
+    """One pass of five mini-batches from given centres."""
+    x = spread(_embeddings(spark, sf))
+    start = np.array([r[0].toArray() for r in x.orderBy("id").limit(5).select("features").collect()])
+    size = -(-x.count() // 5)
+    fit = kmeans.minibatch_kmeans(x, 5, batch_size=size, max_iter=1, max_no_improvement=None, seed=3, start=start)
+    return fit.assignments
+
+
 def _fixed_lloyd(spark, sf):
     x = spread(_embeddings(spark, sf))
     start = x.orderBy("id").limit(5).select("features").collect()
@@ -338,6 +398,20 @@ def wcss(spark, sf):
     return kmeans.wcss(kmeans.assign(x, fit.centers)).select(r6("wcss").alias("wcss"))
 
 
+def _elbow_sql(ks: tuple[int, ...], steps: int) -> str:
+    parts = [f"SELECT {k} AS k, round(wcss, 6) AS wcss FROM ({_lloyd_sql(k, steps, 'SELECT sum(g) AS wcss FROM a' + str(steps))})" for k in ks]
+    return " UNION ALL ".join(parts)
+
+
+@query(_elbow_sql((1, 3, 6), 3))
+def elbow_fixed(spark, sf):
+    """The curve of three counts, fitted in the same scans from the first rows."""
+    x = spread(_embeddings(spark, sf))
+    rows = np.array([r[0].toArray() for r in x.orderBy("id").limit(6).select("features").collect()])
+    curve = kmeans.elbow(x, (1, 3, 6), max_iter=3, starts=[rows[:k] for k in (1, 3, 6)])
+    return curve.select("k", r6("wcss").alias("wcss"))
+
+
 @query()
 def kmeans_tfidf(spark, sf):
     return kmeans.kmeans(_tfidf(_documents(spark, sf)), 4).assignments

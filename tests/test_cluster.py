@@ -87,6 +87,73 @@ def test_kmeans_family(spark):
         kmeans.elbow(df, [500])
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 24, 800])
+def test_wide_svd_matches_exact(spark, monkeypatch, block_bytes):
+    """A sketch kept as a table: a million columns in one block or, for fewer columns, in many."""
+    monkeypatch.setattr(svd, "BLOCK_BYTES", block_bytes)
+    rng = np.random.default_rng(4)
+    width = 10**6 if block_bytes > 800 else 60
+    columns = np.sort(rng.choice(width, 40, replace=False))
+    x = rng.normal(size=(50, 40)) * 1.6 ** -np.arange(40) * (rng.random((50, 40)) < 0.6)
+    x[7] = 0  # a row without entries
+    rows = [(i, Vectors.sparse(width, [(int(c), float(v)) for c, v in zip(columns, r) if v])) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, ["id", "features"]).repartition(3)
+    model = svd.fit_svd(df, 3, n_passes=2, sketch_bytes=0)
+    assert isinstance(model, svd.WideSvdModel) and model.columns == min(width, block_bytes // (8 * 13))
+    exact = np.linalg.svd(x)
+    assert model.singular_values == pytest.approx(exact[1][:3], rel=1e-6)
+    z = x @ exact[2][:3].T
+    assert model.explained_variance_ratio == pytest.approx(z.var(0).sum() / x.var(0).sum(), rel=1e-6)
+    got = np.zeros((50, 3))
+    for r in model.project(df, normalise=False).collect():
+        got[r["id"]] = r["features"].toArray()
+    assert np.abs(got) == pytest.approx(np.abs(z), abs=1e-4)
+
+
+def test_fits_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(size=(150, 3)), np.tile([5.0, 5, 5], (60, 1))])
+    fits = [kmeans.kmeans(table(spark, x, parts), 6, seed=2) for parts in (1, 5)]
+    assert fits[0].centers == pytest.approx(fits[1].centers) and fits[0].wcss == pytest.approx(fits[1].wcss)
+    together = kmeans.fit_many(table(spark, x), kmeans.choose_starts(table(spark, x), [(6, 2), (2, 2), (6, 3)]))
+    assert together[0][0] == pytest.approx(fits[0].centers)
+    for centers, cost in together:
+        assert cost == pytest.approx((((x[:, None] - centers[None]) ** 2).sum(-1)).min(1).sum())
+    few = kmeans.kmeans(table(spark, np.tile([1.0, 2.0], (9, 1))), 3)
+    assert few.wcss == 0 and few.assignments.count() == 9  # one distinct row
+
+
+def test_sparse_rows_are_assigned_like_dense_ones(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 300)) * (rng.random((40, 300)) < 0.02)
+    rows = [(i, Vectors.sparse(300, [(j, float(v)) for j, v in enumerate(r) if v])) for i, r in enumerate(x)]
+    centers = rng.normal(size=(4, 300)) * 0.1
+    got = kmeans.assign(spark.createDataFrame(rows, ["id", "features"]), centers).orderBy("id").collect()
+    want = ((x[:, None] - centers[None]) ** 2).sum(-1)
+    assert [r["cluster"] for r in got] == want.argmin(1).tolist()
+    assert [r["sq_dist"] for r in got] == pytest.approx(want.min(1))
+
+
+def test_mini_batches_by_hand_and_over_many_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(97, 2))
+    df, start = table(spark, x), x[:3].copy()
+    steps = {r["id"]: r["s"] for r in df.select("id", kmeans.step_of(4, 0, 5).alias("s")).collect()}
+    now, seen = start.copy(), np.zeros(3)
+    for step in range(4):
+        mine = x[[i for i in range(97) if steps[i] == step]]
+        at = ((mine[:, None] - now[None]) ** 2).sum(-1).argmin(1)
+        for c in range(3):
+            n = (at == c).sum()
+            seen[c] += n
+            if n:
+                now[c] += (mine[at == c].sum(0) - n * now[c]) / seen[c]
+    fit = lambda: kmeans.minibatch_kmeans(df, 3, batch_size=24, max_iter=1, max_no_improvement=None, seed=5, start=start)
+    assert fit().centers == pytest.approx(now)
+    monkeypatch.setattr(kmeans, "JOB_BYTES", 100)  # no task may hold a batch
+    assert fit().centers == pytest.approx(now)
+
+
 def test_label_scores_by_hand(spark):
     def run(pairs):
         df = spark.createDataFrame(pairs, "label int, cluster int")
