@@ -262,6 +262,7 @@ def _send_atoms(atoms: Atoms, buckets: int):
         order = np.argsort(at, kind="stable")
         numbers, first = np.unique(at[order], return_index=True)
         blobs = [_squeezed("\n".join([open_ones[i] for i in own]).encode()) for own in np.split(order, first[1:])] if len(at) else []
+        pa.default_memory_pool().release_unused()  # workers share a small memory
         return pa.table({
             "chunk": pa.array([chunk[0].as_py()] * len(blobs), pa.int32()), "bucket": pa.array(numbers, pa.int32()),
             "blob": pa.array(blobs, pa.binary()),
@@ -316,17 +317,6 @@ def lattice(words: DataFrame, model: Model, *by: str) -> DataFrame:
     return folded.select(*by, "atom", F.transform(placed, lambda e: e.bitwiseAND((1 << 28) - 1).cast("int")).alias("ids"))
 
 
-def _freed(run):
-    """``run``, and then what Arrow holds back for later goes to the system: workers share a small memory."""
-
-    def wrapped(one, two) -> pa.Table:
-        out = run(one, two)
-        pa.default_memory_pool().release_unused()
-        return out
-
-    return wrapped
-
-
 def _answer(model: Model):
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
         """One bucket: counts and ids of the atoms of each chunk, in the order in which they were sent."""
@@ -396,7 +386,9 @@ def _assemble(atoms: Atoms, buckets: int, schema: pa.Schema, spelled: list[bytes
         out = table.append_column("ids", ids)
         if spelled:
             out = out.append_column("decoded", pa.array(decoded, pa.string(), mask=gone))
-        return out.cast(schema)
+        out = out.cast(schema)
+        pa.default_memory_pool().release_unused()
+        return out
 
     return run
 
@@ -426,7 +418,7 @@ def encode(
     )
     packed = source.mapInArrow(_pack_rows, "chunk int, blob binary").repartition(parts, "chunk")
     asked = packed.groupBy("chunk").applyInArrow(
-        _freed(_send_atoms(atoms, chunks)), "chunk int, bucket int, blob binary"
+        _send_atoms(atoms, chunks), "chunk int, bucket int, blob binary"
     ).repartition(parts, "bucket")
     words = asked.groupBy("bucket").applyInArrow(_list_atoms, "bucket int, number long, atom string").repartition(parts, "bucket")
     known = lattice(words.filter(F.char_length("atom") < MASK_CHARS), model, "number", "bucket")
@@ -439,7 +431,7 @@ def encode(
     if decoded:
         fields, kind = [*fields, ("decoded", pa.string())], f"{kind}, decoded string"
     return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _freed(_assemble(atoms, chunks, pa.schema(fields), model.spelled if decoded else [])), kind
+        _assemble(atoms, chunks, pa.schema(fields), model.spelled if decoded else []), kind
     )
 
 
