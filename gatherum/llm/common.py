@@ -7,11 +7,25 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at a time; one longer text is a piece of its own.
 PIECE_BYTES = 8 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on an Arrow batch to ``PIECE_BYTES``, if it is higher.
+
+    Spark fills a batch up to 10,000 rows or 64 MB, and holds it on both sides of the pipe; rows
+    that carry whole texts twice make that hundreds of MB for a task.
+    """
+    now = spark.conf.get(BATCH_CONF, "67108864b").lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}.get(now[-1:], 1)
+    size = int(now.rstrip("kmgt") or 0) * unit
+    if size <= 0 or size > PIECE_BYTES:
+        spark.conf.set(BATCH_CONF, f"{PIECE_BYTES}b")
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], column: str, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gatherum.llm.common import pieces_of, table_bytes
+from gatherum.llm.common import pieces_of, small_batches, table_bytes
 
 SPACE = "▁"
 #: UTF-8 bytes of text in a chunk, characters of an atom that fit in the mask, text cut at a time.
@@ -406,6 +406,7 @@ def encode(
     chunk_bytes: int = CHUNK_BYTES, decoded: bool = False,
 ) -> DataFrame:
     """``(key, text, ids[, decoded])`` for every row: the text, the model's ids for it, and the text of those ids."""
+    small_batches(docs.sparkSession)
     model = Model(model_path)
     chunks = max(1, -(-table_bytes(docs, text_col) // chunk_bytes))
     parts = min(chunks, MOST_PARTS)
@@ -437,6 +438,7 @@ def encode(
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded`` added: the text of each row's ids; null where they are null."""
+    small_batches(encoded.sparkSession)
     spelled = Model(model_path).spelled  # as many as the model has pieces
     packed = encoded.select(
         F.struct(*[F.col(f"`{c}`") for c in encoded.columns]).alias("row"), F.col(ids_col).cast("array<int>").alias("ids")
