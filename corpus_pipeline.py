@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatherum.llm import decontaminate, language, near_dedup, pieces, substring_dedup
+from gatherum.llm.common import small_batches
 from gatherum.session import ensure_checkpoint_dir
 
 #: Where the piece model is, and the least posterior of a language that counts as known.
@@ -26,6 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Needs a column ``lang`` to learn from; without a row that has one, every document goes.
     """
+    small_batches(spark)
     model = language.train(docs, F.lit(True))
     judged = language.predict(docs, model, with_row=True)
     return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
@@ -36,6 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows with one id stay or go together; rows with a null id stay.
     """
+    small_batches(spark)
     judged = near_dedup.near_duplicates(docs, n=5, num=80, den=100)
     gone = judged.filter(~F.col("kept")).select(F.col("key").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -46,6 +49,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts from which nothing is cut stay as they are, null and empty ones too.
     """
+    small_batches(spark)
     judged = substring_dedup.remove_repeats(docs, with_text=True)
     kept = judged.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     return kept.select(*_counted(docs, F.col("kept_text"), lambda c: F.col(f"row.`{c}`")))
@@ -53,6 +57,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages; documents that are half benchmark or more go. Null and empty texts stay."""
+    small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.drop_hit_words(docs, items).select(*_counted(docs, F.col("text"), lambda c: F.col(f"`{c}`")))
 
