@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from gatherum.functions.text import clean_text
 from gatherum.operators.corpus import filter_categories, limit_rows, select_corpus, union_splits
 from gatherum.operators.joins import with_sorted_index
+from gatherum.sources.records import read_csv
 
 POST_SCHEMA = T.StructType(
     [
@@ -78,20 +79,13 @@ def read_labelled_csv(
     limit_to: int | None = None,
     id_col: str | None = None,
 ) -> DataFrame:
-    """A CSV with header ``Text,Label``. Quoted fields may span lines."""
-    fields = [T.StructField("Text", T.StringType()), T.StructField("Label", T.IntegerType())]
+    """A CSV with columns ``Text`` and ``Label``. Quoted fields may span lines, and one large file
+    is read by many tasks; a row that does not fit is an error, an empty label null."""
+    types: dict = {"Text": T.StringType(), "Label": T.IntegerType()}
     if id_col:
-        fields.insert(0, T.StructField(id_col, T.LongType()))
-    raw = (
-        spark.read.schema(T.StructType(fields))
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .csv(path)
-    )
-    return _finish(_keyed(raw.withColumnsRenamed({"Text": "document", "Label": "label"})),
-                   limit_to, id_col, "_order")
+        types[id_col] = T.LongType()
+    raw = read_csv(spark, path, types)
+    return _finish(raw.withColumnsRenamed({"Text": "document", "Label": "label"}), limit_to, id_col, "_order")
 
 
 def read_questions_jsonl(
