@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from gatherum.operators import neighbors
-from gatherum.plans import grids, runner
+from gatherum.plans import grids, runner, store
 from gatherum.plans.config import Experiment, Stage
 from gatherum.sources import readers, sinks
 
@@ -68,6 +68,39 @@ def test_evaluated_run_and_comparison(spark):
     assert table[1]["silhouette_std"] == 0.0
 
 
+def test_a_stopped_run_goes_on(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("document"), F.col("lang").alias("label"))
+    kept, fits = store.StageStore(spark, str(tmp_path / "stages")), []
+    fit, tfidf = runner.cluster, runner.fit_tfidf
+    settings = {"seeds": range(1), "ks": [1, 3], "n_components": 5, "n_clusters": 3}
+
+    def stops(workspace, experiment, seed=None):
+        fits.append(experiment.name)
+        if len(fits) == 3:
+            raise RuntimeError("stopped")
+        return fit(workspace, experiment, seed)
+
+    monkeypatch.setattr(runner, "cluster", stops)
+    with pytest.raises(RuntimeError):
+        grids.run_all({"questions": docs, "embeddings": docs}, store=kept, **settings)
+    before = kept.stored()
+    assert len(fits) == 3 and len(before) == 6  # elbow, tf-idf, share, svd, two runs
+    monkeypatch.setattr(runner, "fit_tfidf", None)  # features are not made again
+    tables = grids.run_all({"questions": docs, "embeddings": docs}, store=kept, **settings)
+    # the first two runs of the other grid are the same as those of this one
+    assert len(fits) == 3 + 3 + 2 and before < kept.stored()
+    assert tables["elbow"].count() == 2 and tables["questions"].count() == 5 and tables["embeddings"].count() == 4
+    work = runner.Workspace(docs, kept)
+    work.prepare(Experiment("x", grids.TFIDF, Stage("svd", {"n_components": 5})))
+    assert 0 < next(iter(work.explained.values())) < 1
+    monkeypatch.setattr(runner, "fit_tfidf", tfidf)
+    other = runner.Workspace(docs.filter("id > 3"), kept)
+    assert other.vectorise(grids.TFIDF).count() == docs.filter("id > 3").count()
+    same = Stage("KMeans", {"random_state": 1, "n_jobs": 3})
+    assert runner.canonical(same) == runner.canonical(Stage("kmeans", {"seed": 1}))
+
+
 def test_settings_of_the_usual_library_are_taken(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(
         F.col("doc_id").alias("id"), F.col("text").alias("document"), F.col("lang").alias("label"))
