@@ -5,6 +5,7 @@ Floats are rounded here, at the boundary, and nowhere inside the library.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -22,7 +23,8 @@ from gatherum.operators.joins import align, with_sorted_index
 from gatherum.operators.ward import ward
 from gatherum.plans import grids, runner
 from gatherum.plans.config import Experiment, Stage
-from gatherum.session import cut, fan_out, scratch, spread
+from gatherum.plans.store import StageStore
+from gatherum.session import cut, ensure_checkpoint_dir, fan_out, scratch, spread
 
 EPS, MIN_SAMPLES = 1.15, 4
 STOP = "english"
@@ -651,3 +653,24 @@ def grid_questions(spark, sf):
 @query()
 def grid_embeddings(spark, sf):
     return _scores_only(grids.run_named_grid(_documents(spark, sf), "embeddings"))
+
+
+@query()
+def run_all(spark, sf):
+    """All grids in turn, one seed each, after the elbow of the questions: one row per figure."""
+    kept = StageStore(spark, f"{ensure_checkpoint_dir(spark)}/stages-{uuid.uuid4().hex}")
+    corpora = {
+        "news": _documents(spark, sf, "source"), "labelled": _documents(spark, sf),
+        "questions": _turns(spark, sf), "embeddings": _documents(spark, sf),
+    }
+    tables = grids.run_all(corpora, store=kept, seeds=range(1), ks=range(1, 51, 10))
+    curve = tables.pop("elbow")
+    rows = [curve.select(
+        F.lit("elbow").alias("grid"), F.concat(F.lit("k = "), "k").alias("estimator"), F.lit("wcss").alias("metric"),
+        F.col("wcss").cast("double").alias("value"),
+    )]
+    for name, table in tables.items():
+        figures = [c for c in table.columns if c.endswith("_mean") and c != "train_time_mean"]
+        long = table.unpivot("estimator", figures, "metric", "value")
+        rows.append(long.select(F.lit(name).alias("grid"), "estimator", "metric", F.col("value").cast("double")))
+    return reduce(DataFrame.unionByName, rows).withColumn("value", r6("value"))
