@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gatherum.session import cut
+
 #: A record's part in its range: all of it, its end, its beginning, or a range without either.
 WHOLE, END, BEGINNING, MIDDLE = range(4)
 PARSING = {"escape": '"', "mode": "FAILFAST"}
@@ -95,9 +97,9 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     known = ranges.select("file", "start", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1).alias("odd"))
     placed = lines.join(F.broadcast(known), ["file", "start"], "left")
     odd = F.coalesce("odd", F.raise_error(F.lit("byte ranges changed between two scans")).cast("boolean"))
-    parts = placed.select("file", "start", odd.alias("odd"), "value").mapInArrow(
+    parts = cut(placed.select("file", "start", odd.alias("odd"), "value").mapInArrow(  # read for the header, whole and across
         _put_together, "file string, start long, kind int, at long, record string"
-    )
+    ))
     whole = parts.filter(F.col("kind") == WHOLE).drop("kind")
     across = parts.filter(F.col("kind") != WHOLE)
     # within a range an end comes before a beginning
