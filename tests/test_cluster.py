@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gatherum.operators import kmeans, neighbors, scores, svd
 from gatherum.operators.components import connected_components, symmetrise
 from gatherum.operators.dbscan import dbscan
+from gatherum.operators import hdbscan as hdbscan_module
 from gatherum.operators.hdbscan import hdbscan, spanning_tree
 from gatherum.operators.ward import ward, ward_tree
 from gatherum.plans import catalog
@@ -339,6 +340,22 @@ def test_hdbscan_is_exact_and_does_not_depend_on_slices(spark, seed):
     assert labels(hdbscan(table(spark, x), 4, task_edges=9)) == want
 
 
+def test_hdbscan_of_edges_of_one_length(spark, monkeypatch):
+    """More edges of one length than a task may hold: sums settle them, and no task sees any."""
+    grid = np.array([[i, j] for i in range(5) for j in range(4)], float)
+    x = np.vstack([grid, 0.5 * grid + 20, [[9.0, 9.0], [9.0, 9.0], [9.0, 10.0], [9.0, 11.0], [40.0, 0.0]]])
+    assert labels(hdbscan(table(spark, x), 4, 2, task_edges=12)) == by_levels(x, 4, 2)
+
+    def refuse(*_):
+        def run(nodes, edges):
+            raise AssertionError(len(edges))
+
+        return run
+
+    monkeypatch.setattr(hdbscan_module, "_condense", refuse)
+    assert labels(hdbscan(table(spark, grid), 4, 2, task_edges=4)) == by_levels(grid, 4, 2)
+
+
 def test_hdbscan(spark):
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(0, 0.1, (12, 2)), rng.normal(4, 0.1, (12, 2)), [[20.0, -20]]])
