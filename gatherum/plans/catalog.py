@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gatherum.functions import text, vectors
 from gatherum.functions.sampling import hash_key, hash_sample
-from gatherum.operators import corpus, kmeans, neighbors, scores, svd, tfidf
+from gatherum.operators import corpus, kmeans, neighbors, scores, svd, tfidf, wordvec
 from gatherum.operators.components import connected_components, symmetrise
 from gatherum.operators.dbscan import dbscan
 from gatherum.operators.embed import HashedTokenEncoder, embed, word2vec_embed
@@ -269,6 +269,40 @@ def embed_word2vec(spark, sf):
     return x.select("id", vectors.vector_to_array("features").alias("features"))
 
 
+_NEAR = f"""WITH {_TOKENS}, bag AS (SELECT id, list_filter(regexp_extract_all(lower(document), '{text.TOKEN_PATTERN}'),
+  lambda t: t NOT IN ({_STOP_SQL})) AS t FROM d),
+word AS (SELECT id, generate_subscripts(t, 1) AS i, unnest(t) AS term FROM bag),
+step AS (SELECT unnest(range(1, {wordvec.WINDOW + 1})) AS s),
+near AS (SELECT least(x.term, y.term) AS a, greatest(x.term, y.term) AS b, count(*) AS n
+  FROM (SELECT id, i + s AS i, term FROM word, step) x JOIN word y ON x.id = y.id AND x.i = y.i GROUP BY ALL)"""
+
+
+@query(f"{_NEAR} SELECT a, b, n FROM near")
+def word_pairs(spark, sf):
+    return wordvec.word_pairs(fan_out(_documents(spark, sf)), stop_words=STOP)
+
+
+@query(f"""{_NEAR}, cell AS (SELECT a, b, sum(n) AS n FROM (SELECT v.idx AS a, u.idx AS b, n FROM near
+  JOIN vocab v ON v.term = a JOIN vocab u ON u.term = b UNION ALL SELECT u.idx, v.idx, n FROM near
+  JOIN vocab v ON v.term = a JOIN vocab u ON u.term = b) GROUP BY ALL),
+m AS (SELECT a, sum(n) AS m FROM cell GROUP BY a), t AS (SELECT sum(m ** {wordvec.SMOOTHING}) AS t FROM m)
+SELECT c.a, c.b, round(ln(c.n::DOUBLE / x.m / (y.m ** {wordvec.SMOOTHING} / t)), 6) AS w FROM cell c
+JOIN m x ON x.a = c.a JOIN m y ON y.a = c.b, t WHERE ln(c.n::DOUBLE / x.m / (y.m ** {wordvec.SMOOTHING} / t)) > 0""")
+def word_ppmi(spark, sf):
+    docs = fan_out(_documents(spark, sf))
+    terms = tfidf.fit_tfidf(docs, MIN_DF, MAX_DF, STOP)
+    cells = wordvec.positive_pmi(wordvec.word_pairs(docs, stop_words=STOP), terms.vocabulary)
+    return cells.select("a", "b", r6("w").alias("w"))
+
+
+@query()
+def embed_words(spark, sf):
+    """Documents as weighted means of word vectors learnt from them."""
+    docs = _documents(spark, sf)
+    x = wordvec.fit_words(docs, DIM, max_df=MAX_DF, stop_words=STOP).transform(docs)
+    return x.select("id", vectors.vector_to_array("features").alias("features"))
+
+
 @query("""WITH e AS (SELECT vec_id AS id, generate_subscripts(embedding, 1) - 1 AS idx,
   unnest(embedding)::DOUBLE AS w FROM embeddings)
 SELECT id, CAST(idx AS INTEGER) AS idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) + 0.0 AS w FROM e""")
