@@ -18,7 +18,7 @@ from gatherum.operators import corpus, kmeans, neighbors, scores, svd, tfidf, wo
 from gatherum.operators.components import connected_components, symmetrise
 from gatherum.operators.dbscan import dbscan
 from gatherum.operators.embed import HashedTokenEncoder, embed, word2vec_embed
-from gatherum.operators.hdbscan import hdbscan
+from gatherum.operators.hdbscan import core_distances, hdbscan, spanning_tree
 from gatherum.operators.joins import align, with_sorted_index
 from gatherum.operators.ward import ward
 from gatherum.plans import grids, runner
@@ -636,6 +636,49 @@ def ward_(spark, sf):
     return ward(_reduced(_documents(spark, sf)), 20)
 
 
+# distances of distinct rows and of each to its own copies; copies count towards the radius
+_CORE = f"""{_PAIRS}, near AS (SELECT src, dist, row_number() OVER (PARTITION BY src ORDER BY dist) AS r FROM gaps),
+core AS (SELECT src AS id, dist AS core FROM near WHERE r = {MIN_SAMPLES})"""
+
+
+def _core(spark, sf):
+    space = neighbors.build_space(_embeddings(spark, sf))
+    near = cut(neighbors.knn_points(space, MIN_SAMPLES))
+    return space, near, cut(core_distances(space, near, MIN_SAMPLES + 1))
+
+
+@query(f"WITH {_CORE} SELECT id, round(core, 6) + 0.0 AS core FROM core")
+def core_distances_(spark, sf):
+    """Radius around each row that holds five rows, itself counted."""
+    space, _, core = _core(spark, sf)
+    return space.members.join(core.withColumnRenamed("id", "rep"), "rep").select("id", r6("core").alias("core"))
+
+
+def _tree_sql(rounds: int) -> str:
+    """Boruvka's rounds written out: each component takes its cheapest edge out, ties by the edge's ends."""
+    parts = [f"""{_CORE}, q AS (SELECT min(id) AS id FROM p GROUP BY x),
+e AS MATERIALIZED (SELECT src AS a, dst AS b, greatest(dist, x.core, y.core) AS w FROM gaps JOIN core x ON x.id = src
+  JOIN core y ON y.id = dst WHERE src < dst AND src IN (FROM q) AND dst IN (FROM q)),
+g0 AS (SELECT id, id AS g FROM q)"""]
+    for i in range(rounds):
+        parts.append(f"""o{i} AS MATERIALIZED (SELECT x.g AS g, y.g AS h, a, b, w FROM e JOIN g{i} x ON x.id = a JOIN g{i} y ON y.id = b WHERE x.g <> y.g),
+t{i} AS MATERIALIZED (SELECT g, e.h AS h, e.a AS a, e.b AS b, e.w AS w FROM (SELECT g, min(e) AS e FROM (
+  SELECT g, {{'w': w, 'a': a, 'b': b, 'h': h}} AS e FROM o{i} UNION ALL SELECT h, {{'w': w, 'a': a, 'b': b, 'h': g}} FROM o{i}) GROUP BY g)),
+r{i}(g, root) AS (SELECT x.g, x.g FROM t{i} x JOIN t{i} y ON x.h = y.g AND y.h = x.g WHERE x.g < y.g
+  UNION SELECT x.g, r.root FROM t{i} x JOIN r{i} r ON x.h = r.g),
+g{i + 1} AS MATERIALIZED (SELECT id, coalesce(root, g) AS g FROM g{i} LEFT JOIN r{i} USING (g))""")
+    edges = " UNION ".join(f"SELECT a, b, w FROM t{i}" for i in range(rounds))
+    return "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT round(w, 6) + 0.0 AS w, count(*) AS n FROM ({edges}) GROUP BY 1"
+
+
+@query(_tree_sql(10))
+def spanning_tree_(spark, sf):
+    """Lengths of the edges of the minimum spanning tree under mutual reachability; any such tree has the same."""
+    space, near, core = _core(spark, sf)
+    tree = spanning_tree(space, core, near)
+    return tree.groupBy(r6("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def hdbscan_(spark, sf):
     return hdbscan(_embeddings(spark, sf), min_cluster_size=5)
