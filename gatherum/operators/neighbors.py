@@ -30,6 +30,7 @@ BLOCK_BYTES = 1 << 25
 MAX_BLOCK_ROWS = 4096
 MIN_BLOCK_ROWS = 256
 STRIP_CELLS = 1 << 21  # entries of one distance matrix held at a time
+COPY_BLOCK = 1024  # copies of a row that meet others under one key
 
 
 @dataclass
@@ -325,14 +326,23 @@ def eps_join(features: DataFrame | Space, eps: float, factored: bool = False) ->
         pairs = cut(_pairs(space, eps))
         if factored or not space.has_copies:
             return pairs
-        member = space.members.select("id", "rep")
-        left = lookup_join(
-            member.withColumnRenamed("id", "a"), pairs.groupBy(F.col("src").alias("rep")).agg(
-                F.collect_list(F.struct("dst", "dist")).alias("near")), "rep"
-        ).select("a", F.inline("near"))
-        across = left.withColumnRenamed("dst", "rep").join(member.withColumnRenamed("id", "b"), "rep")
+        blocks = keep(space.points.select(
+            F.col("id").alias("rep"), F.ceil(F.col("weight") / F.lit(COPY_BLOCK)).cast("int").alias("blocks")))
+        member = cut(
+            lookup_join(space.members.select("id", "rep"), blocks, "rep", n_rows=space.n_rows)
+            .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+        each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+
+        def copied(pairs: DataFrame, end: str, name: str) -> DataFrame:
+            """The pairs with every copy of one end in its place, a block of copies at a time."""
+            by_block = lookup_join(pairs.withColumnRenamed(end, "rep"), blocks, "rep").withColumn("block", each)
+            return by_block.join(member.select("rep", "block", F.col("id").alias(name)), ["rep", "block"]).drop(
+                "rep", "block", "blocks")
+
+        across = copied(cut(copied(pairs, "src", "a")), "dst", "b")
+        one = member.select("rep", F.col("id").alias("a"), each.alias("block"))
         inside = (
-            member.withColumnRenamed("id", "a").join(member.withColumnRenamed("id", "b"), "rep")
+            one.join(member.select("rep", "block", F.col("id").alias("b")), ["rep", "block"])
             .filter("a < b").withColumn("dist", F.lit(0.0))
         )
         return cut(across.select("a", "b", "dist").unionByName(inside.select("a", "b", "dist")).select(

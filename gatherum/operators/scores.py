@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatherum.functions.sampling import hash_sample
-from gatherum.session import parallelism
+from gatherum.session import keep, parallelism, scratch
 
 LABEL_SCORES = ("homogeneity", "completeness", "v_measure", "ari")
 MAX_SAMPLE_ROWS = 20_000
@@ -107,7 +107,12 @@ def silhouette_samples(
     raw = features.join(F.broadcast(chosen), "id").select(
         "id", "cluster", F.unwrap_udt(F.col("features")).alias("v")
     )
-    sample = raw.select("id", "cluster", "v.indices", "v.values").orderBy("id").toPandas()
+    with scratch():
+        raw = keep(raw)  # at most sample_size rows
+        cells = raw.agg(F.sum(F.size("v.values").cast("long"))).first()[0] or 0
+        if 16 * cells > MAX_SAMPLE_BYTES:
+            raise ValueError("the sample is too wide to hold: reduce sample_size or the dimensions")
+        sample = raw.select("id", "cluster", "v.indices", "v.values").orderBy("id").toPandas()
     out = "id long, cluster int, silhouette double"
     size = len(sample)
     ids, clusters = np.unique(sample["cluster"], return_inverse=True)
@@ -120,8 +125,6 @@ def silhouette_samples(
         [np.arange(m) if i is None else np.asarray(i, dtype=np.int64)
          for i, m in zip(sample["indices"], lengths)]
     ).astype(np.int64)
-    if values.nbytes + columns.nbytes > MAX_SAMPLE_BYTES:
-        raise ValueError("the sample is too wide to hold: reduce sample_size or the dimensions")
     used, columns = np.unique(columns, return_inverse=True)
     by_column = np.argsort(columns, kind="stable")
     held = spark.sparkContext.broadcast(

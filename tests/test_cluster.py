@@ -168,7 +168,7 @@ def test_label_scores_by_hand(spark):
     assert a[2] == pytest.approx(b[2]) and a[0] == pytest.approx(b[1])
 
 
-def test_silhouette(spark):
+def test_silhouette(spark, monkeypatch):
     x = np.array([[0.0], [1.0], [10.0], [30.0]])
     part = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 1)], "id long, cluster int")
     rows = {r["id"]: r["silhouette"] for r in scores.silhouette_samples(table(spark, x), part).collect()}
@@ -176,9 +176,12 @@ def test_silhouette(spark):
     assert rows[0] == pytest.approx((30 - 5.5) / 30)
     one = part.withColumn("cluster", F.lit(-1))
     assert scores.silhouette(table(spark, x), one).first()[0] is None
+    monkeypatch.setattr(scores, "MAX_SAMPLE_BYTES", 16)
+    with pytest.raises(ValueError):
+        scores.silhouette(table(spark, x), part)
 
 
-def test_range_and_nearest_joins(spark, cloud):
+def test_range_and_nearest_joins(spark, cloud, monkeypatch):
     df = table(spark, cloud)
     space = neighbors.build_space(df, block_rows=9)
     assert space.n_points == 81 and len(space.cells) > 3
@@ -188,10 +191,12 @@ def test_range_and_nearest_joins(spark, cloud):
     want = {(i, j) for i in range(81) for j in range(i + 1, 81) if d[i, j] <= 0.6}
     short = neighbors.eps_join(space, 0.6, factored=True).collect()
     assert {(r["src"], r["dst"]) for r in short} == want
-    every = neighbors.eps_join(space, 0.6).collect()  # copies and all their pairs
-    assert len(every) == len({(r["src"], r["dst"]) for r in every})
-    assert {(r["src"], r["dst"]) for r in every} == {
-        (i, j) for i in range(120) for j in range(i + 1, 120) if d[i, j] <= 0.6}
+    for block in (neighbors.COPY_BLOCK, 7):  # the 40 copies under one key, and under several
+        monkeypatch.setattr(neighbors, "COPY_BLOCK", block)
+        every = neighbors.eps_join(space, 0.6).collect()  # copies and all their pairs
+        assert len(every) == len({(r["src"], r["dst"]) for r in every})
+        assert {(r["src"], r["dst"]) for r in every} == {
+            (i, j) for i in range(120) for j in range(i + 1, 120) if d[i, j] <= 0.6}
     assert neighbors.copies(space).count() == 39
     for k in (1, 3):
         got = {(r["src"], r["dst"]) for r in neighbors.knn_join(space, k).collect()}
