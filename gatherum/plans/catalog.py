@@ -616,19 +616,30 @@ def components(spark, sf):
     return connected_components(neighbors.knn_join(x, 2), x.select("id"))
 
 
-@query(f"""WITH RECURSIVE {_PAIRS}, near AS (SELECT src, dst FROM gaps WHERE dist <= {EPS}),
-core AS (SELECT src AS id FROM near GROUP BY src HAVING count(*) + 1 >= {MIN_SAMPLES}),
-l AS (SELECT src AS a, dst AS b FROM near WHERE src IN (FROM core) AND dst IN (FROM core))"""
-       + _REACH.format(nodes="core", links="l") + """,
+def _dbscan_sql(points: str) -> str:
+    """DBSCAN of ``points`` over the pairs of ``near``, listed in both directions."""
+    return f""", core AS (SELECT src AS id FROM near GROUP BY src HAVING count(*) + 1 >= {MIN_SAMPLES}),
+l AS (SELECT src AS a, dst AS b FROM near WHERE src IN (FROM core) AND dst IN (FROM core))""" + _REACH.format(
+        nodes="core", links="l") + f""",
 comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
 num AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS c FROM comp),
 edge AS (SELECT src AS id, min(c) AS c FROM near JOIN num ON num.id = dst WHERE src NOT IN (FROM core) GROUP BY src)
-SELECT p.id, CAST(coalesce(num.c, edge.c, -1) AS INTEGER) AS cluster FROM p
-LEFT JOIN num ON num.id = p.id LEFT JOIN edge ON edge.id = p.id""")
+SELECT p.id, CAST(coalesce(num.c, edge.c, -1) AS INTEGER) AS cluster FROM {points} p
+LEFT JOIN num ON num.id = p.id LEFT JOIN edge ON edge.id = p.id"""
+
+
+@query(f"WITH RECURSIVE {_PAIRS}, near AS (SELECT src, dst FROM gaps WHERE dist <= {EPS})" + _dbscan_sql("p"))
 def dbscan_(spark, sf):
     return dbscan(_embeddings(spark, sf), EPS, MIN_SAMPLES)
 
 
+@query(f"""WITH RECURSIVE {_ALIKE}, half AS (SELECT src, dst FROM gaps WHERE dist <= {ALIKE}),
+near AS MATERIALIZED (SELECT src, dst FROM half UNION ALL SELECT dst, src FROM half)""" + _dbscan_sql("d"))
+def dbscan_similar(spark, sf):
+    """Groups of similar documents by their TF-IDF rows."""
+    return dbscan(_tfidf(_documents(spark, sf)), ALIKE, MIN_SAMPLES)
+
+
 @query()
 def dbscan_documents(spark, sf):
     return dbscan(_reduced(_documents(spark, sf)), grids.EPS, 5)
