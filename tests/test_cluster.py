@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from gatherum.operators import kmeans, neighbors, scores, svd
+from gatherum.operators import kmeans, neighbors, scores, sparse_pairs, svd
 from gatherum.operators.components import connected_components, symmetrise
 from gatherum.operators.dbscan import dbscan
 from gatherum.operators import hdbscan as hdbscan_module
@@ -431,3 +431,35 @@ def test_lookup_join_with_a_hot_key_and_salts(spark, monkeypatch):
         got = joins.lookup_join(big, table_, "k", how, hot_share=8, small_rows=10)
         want = big.join(table_, "k", how)
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def _wide_rows(spark):
+    """Sparse rows of 10^7 columns: near copies, exact copies, empty rows, and rows of any length."""
+    rng = np.random.default_rng(3)
+    columns = np.sort(rng.choice(10_000_000, 60, replace=False))
+    base = np.zeros((8, 60))
+    for r in base:
+        r[rng.choice(60, 12, replace=False)] = rng.random(12)
+    x = base[rng.integers(0, 8, 70)] * (1 + 0.6 * rng.standard_normal((70, 60)))
+    x[20:24] = x[3]
+    x[30:33] = 0.0
+    x[40:50] *= 0.2
+    rows = [(i, Vectors.sparse(10_000_000, columns[r != 0].tolist(), r[r != 0].tolist())) for i, r in enumerate(x)]
+    return spark.createDataFrame(rows, ["id", "features"]), x
+
+
+def test_wide_sparse_rows_are_never_dense(spark):
+    """Counts, pairs and DBSCAN of rows that would take 80 MB each when dense, against brute force."""
+    df, x = _wide_rows(spark)
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for eps in (0.3, 0.8):
+        near = gap <= eps
+        for space in (sparse_pairs.build_sparse(df), sparse_pairs.build_sparse(df, blocks=3)):
+            assert space.n_points == len(np.unique(x, axis=0)) and space.has_copies
+            counted = {r["id"]: r["n"] for r in neighbors.neighbour_counts(space, eps).collect()}
+            assert counted == dict(enumerate(near.sum(1)))
+            pairs = {(r["src"], r["dst"]): r["dist"] for r in neighbors.eps_join(space, eps).collect()}
+            i, j = np.nonzero(np.triu(near, 1))
+            assert sorted(pairs) == list(zip(i, j))
+            assert np.allclose([pairs[p] for p in zip(i, j)], gap[i, j], atol=1e-12)
+            assert labels(dbscan(space, eps, 4)) == list(brute_dbscan(x, eps, 4))
