@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
@@ -64,6 +65,25 @@ def test_large_vocabulary_path_agrees(spark):
     assert large.transform(d).count() == 4
 
 
+@pytest.mark.parametrize("sent", [0, 1, 3])
+def test_frequent_terms_stay_where_the_document_lies(spark, sent):
+    """Rows of a vocabulary sent in part equal those of one sent whole, for repeated ids and empty texts too."""
+    texts = ["aa bb aa cc", "bb", "dd ee bb", "", None, "ff aa gg", "aa aa bb zz"]
+    d = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)], "id long, document string").repartition(3)
+    whole, part = tfidf.fit_tfidf(d), tfidf.fit_tfidf(d, broadcast_terms=sent)
+    assert part.terms is None
+
+    def rows(x):
+        return sorted((r["id"], tuple(np.round(r["features"].toArray(), 12))) for r in x.collect())
+
+    def triples(m):
+        return sorted((r["id"], r["term"], r["idx"], round(r["w"], 12)) for r in m.weights(d).collect())
+
+    assert rows(whole.transform(d)) == rows(part.transform(d))
+    assert rows(whole.counts(d)) == rows(part.counts(d))
+    assert triples(whole) == triples(part)
+
+
 def test_no_terms_left_is_an_error(spark):
     with pytest.raises(ValueError):
         tfidf.fit_tfidf(docs(spark, "aa", "bb"), min_df=2)
