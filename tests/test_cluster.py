@@ -463,3 +463,22 @@ def test_wide_sparse_rows_are_never_dense(spark):
             assert sorted(pairs) == list(zip(i, j))
             assert np.allclose([pairs[p] for p in zip(i, j)], gap[i, j], atol=1e-12)
             assert labels(dbscan(space, eps, 4)) == list(brute_dbscan(x, eps, 4))
+
+
+def test_starts_of_wide_sparse_rows_hold_their_entries_only(spark, monkeypatch):
+    """Candidates that would take 3 MB each when dense, under a limit of 8 MB for all of them, with and without copies."""
+    rng = np.random.default_rng(5)
+    columns = np.sort(rng.choice(400_000, 40, replace=False))
+    x = np.repeat(np.eye(2, 40), 30, axis=0) + 0.05 * rng.random((60, 40)) * (rng.random((60, 40)) < 0.2)
+    x[10:20] = x[3]
+    rows = [(i, Vectors.sparse(400_000, columns[r != 0].tolist(), r[r != 0].tolist())) for i, r in enumerate(x)]
+    monkeypatch.setattr(kmeans, "MAX_CENTRE_BYTES", 8_000_000)
+    fit = kmeans.kmeans(spark.createDataFrame(rows, ["id", "features"]), 2)
+    found = labels(fit.assignments)
+    assert len(set(found[:30])) == len(set(found[30:])) == 1 and found[0] != found[30]
+    dense = kmeans.Candidates(40, [(np.arange(40, dtype=np.int32), r) for r in x])
+    sparse = kmeans.Candidates(400, [(np.flatnonzero(r).astype(np.int32), r[r != 0]) for r in x])
+    assert dense.table is not None and sparse.table is None
+    for seed in range(3):
+        a, b = (kmeans._plus_plus(c, np.ones(60), 5, seed) for c in (dense, sparse))
+        assert np.allclose(a, b[:, :40], atol=1e-12) and not b[:, 40:].any()
