@@ -111,6 +111,30 @@ def test_wide_svd_matches_exact(spark, monkeypatch, block_bytes):
     assert np.abs(got) == pytest.approx(np.abs(z), abs=1e-4)
 
 
+def test_wide_svd_sends_a_few_vectors_at_a_time(spark, monkeypatch):
+    """Blocks of two columns, lanes of two vectors, waves of two lanes; a row without an id keeps none."""
+    monkeypatch.setattr(svd, "BLOCK_BYTES", 16 * 14)
+    monkeypatch.setattr(svd, "LANE_BYTES", 2 * 8 * 30)
+    monkeypatch.setattr(svd, "WAVE_LANES", 2)
+    monkeypatch.setattr(svd, "TILE_ENTRIES", 50)
+    sent, send = [], svd._sent
+    monkeypatch.setattr(svd, "_sent", lambda *a: sent.append(send(*a)) or sent[-1])
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(45, 30)) * 1.6 ** -np.arange(30) * (rng.random((45, 30)) < 0.6)
+    rows = [(i or None, Vectors.sparse(30, [(c, float(v)) for c, v in enumerate(r) if v])) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, table(spark, x).schema).repartition(3)
+    model = svd.fit_svd(df, 4, n_passes=2, sketch_bytes=0)
+    assert len(sent) == (2 + 1) * 7 + 7  # 14 vectors by twos in each of three passes and for the rows' products
+    exact = np.linalg.svd(x)
+    assert model.singular_values == pytest.approx(exact[1][:4], rel=1e-6)
+    found = model.project(df, normalise=False).collect()
+    got = np.zeros((45, 4))
+    for r in found:
+        got[r["id"] or 0] = r["features"].toArray()
+    assert sorted(r["id"] or 0 for r in found) == list(range(45)) and [r["id"] for r in found].count(None) == 1
+    assert np.abs(got) == pytest.approx(np.abs(x @ exact[2][:4].T), abs=1e-4)
+
+
 def test_fits_do_not_depend_on_partitions(spark):
     rng = np.random.default_rng(7)
     x = np.vstack([rng.normal(size=(150, 3)), np.tile([5.0, 5, 5], (60, 1))])
