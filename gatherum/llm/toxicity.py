@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ TRAIN_ROWS, TRAIN_BYTES = 3000, 200_000
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 8
 EPOCHS, BATCH, RATE, DECAY = 5, 32, 0.1, 1e-5
 SLICE = 1 << 19
+COARSE_BITS = 14  # low bits of a logit that the first count for a threshold leaves out
 #: Frequent function words of four languages.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for was with be by this are from".split(),
@@ -143,16 +145,71 @@ class Net:
         self.bias = float(bias[0])
 
 
-def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The logit between two texts that makes the fewest errors; the middle of the widest such gap."""
-    order = np.argsort(z)
-    z, y = z[order], y[order]
-    wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([[0], np.cumsum(1 - y[::-1])])[::-1]
-    places = np.flatnonzero(wrong == wrong.min())
-    padded = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
-    gap = padded[places + 1] - padded[places]
-    at = places[gap.argmax()]
-    return float((padded[at] + padded[at + 1]) / 2)
+def _place(z: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of float32 values, and back: the same turn of the bits of negative ones."""
+    bits = z.view(np.int32)
+    return np.where(bits < 0, bits ^ 0x7FFFFFFF, bits).astype(np.int32)
+
+
+def _value(place: np.ndarray) -> np.ndarray:
+    return _place(place.astype(np.int32).view(np.float32)).view(np.float32).astype(float)
+
+
+def _errors(own: pd.DataFrame, weight: list[float]) -> np.ndarray:
+    """Weighted errors of a cut before each entry and after the last."""
+    fine, bad = (np.concatenate([[0], np.cumsum(own[c].to_numpy(np.int64))]) for c in ("n0", "n1"))
+    return weight[1] * bad + weight[0] * (fine[-1] - fine)
+
+
+def _cuts(judged: DataFrame, mass: dict[int, float]) -> dict[int | None, float]:
+    """For each guessed language with 50 rows of both classes, and for all (None), the logit between two rows that
+    makes the fewest errors; the middle of the widest such gap. Classes weigh as much as ``mass`` says.
+
+    ``judged`` is ``(y, lang, at)``, ``at`` the place of a float32 logit. Rows are counted by the
+    high bits of their place, and only the few counts that a best cut may lie inside are opened to
+    single values: exact over all rows, and no more than these counts reach the driver.
+    """
+    counts = [F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1")]
+    keyed = judged.withColumn("b", F.shiftright("at", COARSE_BITS))
+    coarse = keyed.groupBy("lang", "b").agg(*counts, F.min("at").alias("lo"), F.max("at").alias("hi")).toPandas()
+    weight = [mass[c] / max(1, int(coarse[f"n{c}"].sum())) for c in (0, 1)]
+    groups: dict = {None: coarse}
+    for lang, own in coarse.groupby("lang"):
+        if own["n0"].sum() and own["n1"].sum() and own["n0"].sum() + own["n1"].sum() >= 50:
+            groups[int(lang)] = own
+    slack = 1e-9 * sum(mass.values())  # for rounding of the weighted sums
+    opened = set()
+    for lang, own in groups.items():
+        own = own.groupby("b").agg({"n0": "sum", "n1": "sum", "lo": "min", "hi": "max"}).sort_index()
+        wrong = _errors(own, weight)
+        inside = (wrong[:-1] - weight[0] * own["n0"] <= wrong.min() + slack) & (own["lo"] < own["hi"])
+        opened |= {(int(x), int(b)) for b in own.index[inside] for x in (range(len(LANGUAGES)) if lang is None else [lang])}
+    if opened:
+        listed = judged.sparkSession.createDataFrame(sorted(opened), "lang int, b int")
+        single = keyed.join(F.broadcast(listed), ["lang", "b"]).groupBy("lang", "b", "at").agg(*counts).toPandas()
+        single = single.assign(lo=single["at"], hi=single["at"]).drop(columns="at")
+        closed = [(int(x), int(b)) not in opened for x, b in zip(coarse["lang"], coarse["b"])]
+        coarse = pd.concat([coarse[closed], single])
+    out: dict[int | None, float] = {}
+    for lang in groups:
+        own = coarse if lang is None else coarse[coarse["lang"] == lang]
+        # counts that are not opened for a language may be for all: whole ones and single values never overlap
+        own = own.groupby("lo").agg({"n0": "sum", "n1": "sum", "hi": "max"}).sort_index().reset_index()
+        if lang is None:
+            own = _merged(own)
+        wrong = _errors(own, weight)
+        lo, hi = _value(own["lo"].to_numpy()), _value(own["hi"].to_numpy())
+        below, above = np.concatenate([[lo[0] - 1], hi]), np.concatenate([lo, [hi[-1] + 1]])
+        places = np.flatnonzero(wrong <= wrong.min() + slack)
+        best = places[(above - below)[places].argmax()]
+        out[lang] = float((below[best] + above[best]) / 2)
+    return out
+
+
+def _merged(own: pd.DataFrame) -> pd.DataFrame:
+    """Entries of several languages by their ranges: those that overlap become one."""
+    apart = (own["lo"] > own["hi"].cummax().shift(fill_value=np.iinfo(np.int32).min)).cumsum()
+    return own.groupby(apart.to_numpy()).agg({"n0": "sum", "n1": "sum", "lo": "min", "hi": "max"})
 
 
 def train(
@@ -161,15 +218,17 @@ def train(
 ) -> Net | None:
     """Learn from about ``rows`` labelled rows of each class among those with ``use``.
 
-    The rows are a hash share of each class, none longer than ``max_bytes``; a fifth of them sets
-    the thresholds. ``None`` if a class has no row.
+    The rows are a hash share of each class, none longer than ``max_bytes``, and the net learns from
+    four fifths of them. All other labelled rows with ``use`` set the thresholds, of whatever
+    length; if no such fifth has both classes, all rows do. ``None`` if a class has no row.
     """
     marked = labels.filter(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     size = {r[0]: r[1] for r in marked.groupBy("y").count().collect()}
     if not (size.get(0) and size.get(1)):
         return None
     share = F.when(F.col("y") == 1, min(1.0, rows / size[1])).otherwise(min(1.0, rows / size[0]))
-    sample = marked.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * (1 << 30))  # about 2 x rows ids
+    sampled = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * (1 << 30)
+    sample = marked.filter(sampled)  # about 2 x rows ids
     body = F.col(text_col).cast("string").cast("binary")
     pool = (
         docs.filter(use & F.col(text_col).isNotNull()).select(id_col, body.alias("body"))
@@ -209,20 +268,40 @@ def train(
         for _ in range(steps):
             at = np.concatenate([rng.choice(bad, half), rng.choice(fine, half)])
             net.step([texts[i] for i in at], y[at].astype(np.float32), state)
-    judged = np.flatnonzero(hold) if hold.any() else np.arange(len(y))
-    starts = np.concatenate([[0], np.cumsum([len(texts[i]) for i in judged])])
-    words = np.concatenate([texts[i] for i in judged])
-    z = net.logits(starts, words, np.arange(len(words)))
-    overall = _best_cut(z, y[judged])
-    net.cut[:] = overall
-    for i in range(len(LANGUAGES)):
-        own = lang[judged] == i
-        if len(set(y[judged][own])) == 2 and own.sum() >= 50:
-            net.cut[i] = _best_cut(z[own], y[judged][own])
     net.tables = None
+    # the rows that the net has not learned from, by the same hashes; no text is shuffled
+    fit = (F.length(body) <= max_bytes) & (F.pmod(F.shiftright(F.xxhash64(body), 10), F.lit(5)) != 0)
+    tagged = docs.filter(use & F.col(text_col).isNotNull()).select(
+        F.struct(F.col(id_col).alias("id"), fit.alias("fit")).alias("k"), F.col(text_col).alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast({"parts": vars(net)})
+
+    def compute(texts: list) -> pa.RecordBatch:
+        starts, buckets, at, tongue = encode(texts)
+        z = _net(sent.value).logits(starts, buckets, at).astype(np.float32) + np.float32(0)  # one zero
+        return pa.RecordBatch.from_pydict({"at": pa.array(_place(z), pa.int32()), "lang": pa.array(tongue, pa.int32())})
+
+    found = per_row(tagged, "k", "text", compute, "at int, lang int").select(F.col("key.id").alias(id_col), "key.fit", "at", "lang")
+    found = found.join(marked, id_col).withColumn("learned", F.col("fit") & sampled if hold.any() else F.lit(False))
+    found = found.groupBy(id_col).agg(
+        F.max("y").alias("y"), F.max("learned").alias("learned"), F.min(F.struct("at", "lang")).alias("s"))
+    judged = found.filter(~F.col("learned")).select("y", "s.lang", "s.at").persist()
+    cuts = _cuts(judged, {c: float(min(rows, n)) for c, n in size.items()})
+    judged.unpersist()
+    sent.unpersist()
+    net.cut[:] = cuts.pop(None)
+    for lang, cut in cuts.items():
+        net.cut[lang] = cut
     return net
 
 
+def _net(own: dict) -> Net:
+    """The net of plain data that was sent; the worker keeps the one built from it next to it."""
+    if "net" not in own:
+        own["net"] = Net.__new__(Net)
+        vars(own["net"]).update(own["parts"])
+    return own["net"]
+
+
 def score(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
     """``(key, [row,] score, predicted)`` of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(net and {"parts": vars(net) | {"tables": None}})
@@ -230,11 +309,7 @@ def score(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: st
     def compute(texts: list) -> pa.RecordBatch:
         p = np.zeros(len(texts))
         if sent.value is not None and len(texts):
-            own = sent.value  # plain data; the worker keeps the net built from it next to it
-            if "net" not in own:
-                own["net"] = Net.__new__(Net)
-                vars(own["net"]).update(own["parts"])
-            model = own["net"]
+            model = _net(sent.value)
             starts, buckets, at, lang = encode(texts)
             z = model.logits(starts, buckets, at) - model.cut[lang]
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30).astype(float)))

@@ -266,6 +266,40 @@ def test_language_and_toxicity_on_awkward_rows(spark):
     assert toxicity.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), F.lit(True)) is None
 
 
+def _plain_cut(z, y, weight):
+    """The best cut by trying every place between two distinct values."""
+    v = np.unique(z)
+    below, above = np.concatenate([[v[0] - 1], v]), np.concatenate([v, [v[-1] + 1]])
+    wrong = np.array([weight[1] * (y[z <= b] == 1).sum() + weight[0] * (y[z > b] == 0).sum() for b in below])
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
+    at = best[(above - below)[best].argmax()]
+    return (below[at] + above[at]) / 2
+
+
+@pytest.mark.parametrize("bits", [0, 14, 20, 31])
+def test_toxicity_cuts_are_the_best_over_all_rows(spark, monkeypatch, bits):
+    monkeypatch.setattr(toxicity, "COARSE_BITS", bits)
+    rng = np.random.default_rng(bits)
+    y, lang = (rng.random(600) < 0.3).astype(int), rng.choice(4, 600, p=[0.5, 0.3, 0.17, 0.03])
+    z = np.round(rng.normal(size=600) + y * 1.5 - 0.5 * lang, 2).astype(np.float32) + np.float32(0)
+    rows = spark.createDataFrame([*zip(y.tolist(), lang.tolist(), toxicity._place(z).tolist())], "y int, lang int, at int")
+    cuts = toxicity._cuts(rows.repartition(3), {0: 300.0, 1: 300.0})
+    weight = [300 / (y == 0).sum(), 300 / (y == 1).sum()]
+    assert cuts.pop(None) == pytest.approx(_plain_cut(z.astype(float), y, weight))
+    assert set(cuts) == {i for i in range(4) if (lang == i).sum() >= 50 and len(set(y[lang == i])) == 2}
+    for i, cut in cuts.items():
+        assert cut == pytest.approx(_plain_cut(z[lang == i].astype(float), y[lang == i], weight))
+
+
+def test_toxicity_thresholds_come_from_all_rows_not_learned_from(spark, monkeypatch):
+    seen, cuts = [], toxicity._cuts
+    monkeypatch.setattr(toxicity, "_cuts", lambda judged, mass: seen.append(judged.count()) or cuts(judged, mass))
+    docs = spark.createDataFrame([(i, f"word{i} {'vile' if i % 2 else 'kind'} text") for i in range(400)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    assert toxicity.train(docs, marks, F.lit(True), rows=50) is not None
+    assert 280 < seen[0] < 400  # a share of about 100 rows, four fifths of it learned from
+
+
 def test_toxicity_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
