@@ -202,7 +202,7 @@ def _cuts(judged: DataFrame, mass: dict[int, float]) -> dict[int | None, float]:
         below, above = np.concatenate([[lo[0] - 1], hi]), np.concatenate([lo, [hi[-1] + 1]])
         places = np.flatnonzero(wrong <= wrong.min() + slack)
         best = places[(above - below)[places].argmax()]
-        out[lang] = float((below[best] + above[best]) / 2)
+        out[lang] = float((np.float32(below[best]) + np.float32(above[best])) / 2)
     return out
 
 
