@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml.feature import StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
 from pyspark.sql import functions as F
 
 from gatherum.functions import text
@@ -145,3 +145,15 @@ def test_embedding(spark):
     rows = {r["id"]: r["features"].toArray() for r in embed(docs(spark, "aa bb aa", "")).collect()}
     assert (rows[0] ** 2).sum() == pytest.approx(1.0) and not rows[1].any()
     assert HashedTokenEncoder(8)(["aa"]).shape == (1, 8)
+
+
+def test_the_vocabulary_is_sent_at_once(spark, monkeypatch):
+    """A Java model of the vocabulary costs the driver a call for each term."""
+    def slow(*_, **__):
+        raise AssertionError("term by term")
+
+    monkeypatch.setattr(CountVectorizerModel, "from_vocabulary", slow)
+    docs = spark.createDataFrame([(1, "red red blue"), (None, "blue green"), (3, None), (1 << 62, "red")], "id long, document string")
+    model = tfidf.fit_tfidf(docs)
+    rows = {r["id"]: r["features"].toArray().tolist() for r in model.counts(docs).collect()}
+    assert rows == {1: [1, 0, 2], None: [1, 1, 0], 3: [0, 0, 0], 1 << 62: [0, 0, 1]}
