@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -506,3 +509,49 @@ def test_starts_of_wide_sparse_rows_hold_their_entries_only(spark, monkeypatch):
     for seed in range(3):
         a, b = (kmeans._plus_plus(c, np.ones(60), 5, seed) for c in (dense, sparse))
         assert np.allclose(a, b[:, :40], atol=1e-12) and not b[:, 40:].any()
+
+
+def test_sparse_rows_are_multiplied_by_their_entries(monkeypatch):
+    """Rows of 200 columns of their own, 840 MB as one block, against numpy; few products and candidates at a time."""
+    rng = np.random.default_rng(2)
+    column = rng.permutation(500 * 200).reshape(500, 200)
+    column.sort(axis=1)
+    frame = pd.DataFrame({"indices": list(column.astype(np.int32)), "values": list(rng.random((500, 200)))})
+    frame.at[7, "indices"], frame.at[7, "values"] = np.zeros(0, np.int32), np.zeros(0)
+    centers = rng.random((3, 500 * 200))
+    monkeypatch.setattr(kmeans, "CELLS", 30_000)
+    found, sums = np.zeros((500, 3)), np.zeros_like(centers)
+    tracemalloc.start()
+    for which, rows in kmeans.row_batches(frame, 3):
+        assert len(rows.column) <= 10_000 + 200
+        found[which] = rows.times(centers.T.copy())
+        rows.add_to(sums, np.arange(which.start, which.stop) % 3)
+    assert tracemalloc.get_traced_memory()[1] < 40_000_000
+    tracemalloc.stop()
+    exact = [centers[:, i] @ v for i, v in zip(frame["indices"], frame["values"])]
+    assert np.allclose(found, exact) and not found[7].any()
+    assert all(np.allclose(sums[r % 3][frame["indices"][r]], frame["values"][r]) for r in range(500))
+    drawn = [(frame["indices"][r], frame["values"][r]) for r in range(0, 60, 3)]
+    held = kmeans.Candidates(500 * 200, [*drawn, (np.arange(5, dtype=np.int32), np.ones(5))])
+    monkeypatch.setattr(kmeans, "TABLE_CELLS", 5_000)
+    assert len(list(held.tables())) > 3
+    at, gap = held.nearest(frame)
+    every = np.zeros((500, 500 * 200))
+    for r in range(500):
+        every[r, frame["indices"][r]] = frame["values"][r]
+    table = np.vstack([block for _, block in held.blocks()])
+    brute = (table**2).sum(1) - 2 * every @ table.T
+    assert np.allclose(gap, brute.min(1)) and list(at) == list(brute.argmin(1))
+
+
+def test_mixed_rows_and_seeds_in_the_same_scans(spark):
+    """Dense rows beside sparse ones give the fit of dense ones; a seed's fit does not hang on the others."""
+    rng = np.random.default_rng(4)
+    x = rng.random((90, 6)) * (rng.random((90, 6)) < 0.6) + np.repeat(np.eye(3, 6) * 4, 30, axis=0)
+    both = [(i, Vectors.dense(r) if i % 2 else Vectors.sparse(6, np.flatnonzero(r).tolist(), r[r != 0].tolist())) for i, r in enumerate(x)]
+    df, dense = spark.createDataFrame(both, ["id", "features"]), table(spark, x)
+    fits = kmeans.kmeans_seeds(df, 3, [0, 5])
+    for seed, fit in zip((0, 5), fits):
+        alone = kmeans.kmeans(dense, 3, seed=seed)
+        assert np.allclose(fit.centers, alone.centers) and abs(fit.wcss - alone.wcss) < 1e-9
+        assert labels(fit.assignments) == labels(alone.assignments)
