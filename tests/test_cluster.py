@@ -233,6 +233,26 @@ def test_range_and_nearest_joins(spark, cloud, monkeypatch):
         assert got == {(i, int(j)) for i in range(120) for j in order[i]}
 
 
+@pytest.mark.parametrize("spans", [1, 3])
+def test_blocks_travel_together(spark, cloud, monkeypatch, spans):
+    monkeypatch.setattr(neighbors, "SPANS", spans)
+    space = neighbors.build_space(table(spark, cloud), block_rows=4)
+    per, blocks = space.span_blocks, int(space.cells["blocks"].sum())
+    assert blocks > 12 and 4 < per <= blocks
+    asked = space.points.select("id", "x", "cell", F.lit(99.0).alias("radius"))
+    sent = [r["visit"] for r in neighbors.route(space, asked).collect()]
+    assert len(sent) == 81 and {len(v) for v in sent} == {-(-blocks // per)}  # every row once for a span
+    assert {sum(int(b).bit_count() for b in v) for v in sent} == {blocks}
+    d = gaps(cloud)
+    counted = {r["id"]: r["n"] for r in neighbors.neighbour_counts(space, 0.6).collect()}
+    assert counted == {i: int((d[i] <= 0.6).sum()) for i in range(120)}
+    np.fill_diagonal(d, np.inf)
+    order = np.lexsort((np.broadcast_to(np.arange(120), d.shape), d), axis=1)[:, :3]
+    got = {(r["src"], r["dst"]) for r in neighbors.knn_join(space, 3).collect()}
+    assert got == {(i, int(j)) for i in range(120) for j in order[i]}
+    assert labels(dbscan(space, 0.6, 5)) == brute_dbscan(cloud, 0.6, 5)
+
+
 def test_nearest_ties_go_to_lower_ids(spark):
     x = np.array([[1.0, 0], [-1, 0], [0, 1], [0, -1], [0, 0]])
     got = [r["dst"] for r in neighbors.knn_join(table(spark, x), 2).filter("src = 4").orderBy("dst").collect()]
