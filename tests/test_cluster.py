@@ -6,6 +6,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from gatherum.functions import vectors
 from gatherum.operators import kmeans, neighbors, scores, sparse_pairs, svd
 from gatherum.operators.components import connected_components, symmetrise
 from gatherum.operators.dbscan import dbscan
@@ -575,3 +576,22 @@ def test_mixed_rows_and_seeds_in_the_same_scans(spark):
         alone = kmeans.kmeans(dense, 3, seed=seed)
         assert np.allclose(fit.centers, alone.centers) and abs(fit.wcss - alone.wcss) < 1e-9
         assert labels(fit.assignments) == labels(alone.assignments)
+
+
+def test_wide_svd_packs_many_rows_together(spark):
+    """A tile holds rows enough for a column to have several entries; products are those of the matrix."""
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((3000, 40)) < 0.1, rng.normal(size=(3000, 40)), 0.0)
+    rows = [(i, Vectors.sparse(40, np.flatnonzero(r).tolist(), r[r != 0].tolist())) for i, r in enumerate(x)]
+    [tile] = svd._packed(spark.createDataFrame(rows, ["id", "features"]).coalesce(1)).toPandas().itertuples()
+    x, by = x[np.array(tile.ids)], rng.normal(size=(40, 3))
+    total = np.ones((40, 3))
+    product = svd._rows_times(tile, by)
+    np.testing.assert_allclose(product, x @ by, atol=1e-12)
+    assert sorted(svd._add_back(tile, product, total)) == list(range(40))
+    np.testing.assert_allclose(total, 1 + x.T @ x @ by, atol=1e-10)
+
+
+def test_unit_rows_work_out_their_norm_once():
+    """Not for every entry: that is quadratic in the length of a row."""
+    assert str(vectors.l2_normalise_array(F.col("x"))).count("aggregate(") == 1
