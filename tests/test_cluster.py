@@ -595,3 +595,34 @@ def test_wide_svd_packs_many_rows_together(spark):
 def test_unit_rows_work_out_their_norm_once():
     """Not for every entry: that is quadratic in the length of a row."""
     assert str(vectors.l2_normalise_array(F.col("x"))).count("aggregate(") == 1
+
+
+def test_sparse_blocks_are_sent_and_rows_stay(spark, monkeypatch):
+    """No row is shuffled for the blocks it meets; results of a few blocks are folded; rows of one id stay apart."""
+    df, x = _wide_rows(spark)
+    plans, store = [], sparse_pairs.cut
+    monkeypatch.setattr(sparse_pairs, "FOLD", 2)
+    monkeypatch.setattr(sparse_pairs, "cut", lambda t: plans.append(t._jdf.queryExecution().toString()) or store(t))
+    space = sparse_pairs.build_sparse(df, blocks=5)
+    plans.clear()
+    counted = {r["id"]: r["n"] for r in sparse_pairs.sparse_counts(space, 0.8).collect()}
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.8
+    assert counted == {i: near[i].sum() for i in counted} and len(counted) == space.n_points
+    assert not any("CoGroup" in p for p in plans)
+    assert sum("MapInPandas" in p and "Exchange" not in p for p in plans) >= 5
+    twins = df.filter("id in (0, 1)").withColumn("id", F.lit(7).cast("long"))
+    assert sparse_pairs.sparse_pairs(sparse_pairs.build_sparse(twins), 100.0).count() == 1
+
+
+def test_rows_without_neighbours_are_not_linked(spark, monkeypatch):
+    """DBSCAN of sparse rows: what is near its own copies alone meets no other row a second time."""
+    x = np.diag(np.arange(1.0, 13.0))
+    x[3:6] = x[2]
+    x[8] = x[7] + 0.1
+    rows = [(i, Vectors.sparse(12, np.flatnonzero(r).tolist(), r[r != 0].tolist())) for i, r in enumerate(x)]
+    met, compare = [], sparse_pairs.compare
+    monkeypatch.setattr(sparse_pairs, "compare", lambda space, rows, *a: met.append(rows.count()) or compare(space, rows, *a))
+    df = spark.createDataFrame(rows, ["id", "features"])
+    assert labels(dbscan(df, 0.9, 2)) == [-1, -1, 0, 0, 0, 0, -1, 1, 1, -1, -1, -1]
+    assert met == [9, 2]
+    assert labels(dbscan(df, 0.01, 4)) == [-1, -1, 0, 0, 0, 0] + [-1] * 6
