@@ -626,3 +626,34 @@ def test_rows_without_neighbours_are_not_linked(spark, monkeypatch):
     assert labels(dbscan(df, 0.9, 2)) == [-1, -1, 0, 0, 0, 0, -1, 1, 1, -1, -1, -1]
     assert met == [9, 2]
     assert labels(dbscan(df, 0.01, 4)) == [-1, -1, 0, 0, 0, 0] + [-1] * 6
+
+
+def test_short_passes_are_written_together(spark, monkeypatch):
+    """Batches of several passes go through one job; the fit is that of a job for every step."""
+    x = np.random.default_rng(2).normal(size=(120, 3))
+    df, written, write = table(spark, x), [], kmeans._write_passes
+    monkeypatch.setattr(kmeans, "_write_passes", lambda *a: written.append(a[3]) or write(*a))
+    found = []
+    for steps in (1, 10):
+        monkeypatch.setattr(kmeans, "STEPS_PER_JOB", steps)
+        fit = kmeans.minibatch_kmeans(df, 3, batch_size=60, max_iter=6, max_no_improvement=None, seed=1, start=x[:3])
+        found.append((fit.centers, labels(fit.assignments)))
+    assert written == [*(range(i, i + 1) for i in range(6)), range(5), range(5, 6)]
+    np.testing.assert_array_equal(found[0][0], found[1][0])
+    assert found[0][1] == found[1][1]
+
+
+def test_fits_are_summed_up_a_few_at_a_time(spark, monkeypatch):
+    """The driver holds the centres of all fits and the sums of the few that share a scan."""
+    rng, width, k = np.random.default_rng(4), 20_000, 40
+    rows = [(i, Vectors.sparse(width, sorted(rng.choice(width, 5, replace=False).tolist()), rng.random(5).tolist())) for i in range(80)]
+    df = spark.createDataFrame(rows, ["id", "features"]).coalesce(1)
+    monkeypatch.setattr(kmeans, "SWEEP_BYTES", k * width * 8)
+    starts = [rng.random((k, width)) for _ in range(8)]
+    tracemalloc.start()
+    fits = kmeans.fit_many(df, starts, max_iter=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(fits) == 8 and peak < 8 * 8 * k * width + 8 * 8 * k * width
+    alone = kmeans.fit_many(df, starts[5:6], max_iter=1)
+    np.testing.assert_array_equal(alone[0][0], fits[5][0])
